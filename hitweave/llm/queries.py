@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import pii, quality, toxicity
+from hitweave.llm import pagetext, pii, quality, toxicity
 from hitweave.llm.common import table
 
 
@@ -22,5 +22,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_toxicity, op6_quality_classifier, op9_pii)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_toxicity, op6_quality_classifier, op9_pii, op10_html_extraction)}
 ORACLES: dict[str, str] = {}
