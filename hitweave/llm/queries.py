@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import pagetext, pii, quality, toxicity
+from hitweave.llm import pagetext, pii, quality, toxicity, warc
 from hitweave.llm.common import table
 
 
@@ -26,5 +26,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_toxicity, op6_quality_classifier, op9_pii, op10_html_extraction)}
-ORACLES: dict[str, str] = {}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_toxicity, op6_quality_classifier, op7_warc, op9_pii, op10_html_extraction)}
+#: SHA-1 in base32, five hexadecimal digits at a time.
+_BASE32 = """array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + ((('0x' || substr(sha1(payload), CAST(1 + 5 * (k // 4) AS BIGINT), 5))::BIGINT >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31)::BIGINT, 1)), '')"""
+
+ORACLES: dict[str, str] = {
+    "op7_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, {_BASE32} AS payload_digest FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first_id, count(*) OVER (PARTITION BY payload_digest) AS copies FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN copies = 1 OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN copies > 1 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM w""",
+}
