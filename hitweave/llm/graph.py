@@ -1,0 +1,34 @@
+"""Connected components of an edge table, by alternating star contractions, without collecting anything."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hitweave.llm.common import materialise
+
+
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of `edges(a, b)` that has another neighbour than itself; the component is its least node.
+
+    Large-star links each node's greater neighbours to its least neighbour; small-star links the lesser ones to it. Both are
+    aggregations and equi-joins, so a node with very many neighbours is split like any skewed key. Each round is written to
+    the shared folder; a component of n nodes needs about log n rounds, a star two.
+    """
+    now = materialise(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state = _state(now)
+    while state[0]:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lesser = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lesser, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lesser.select("u", F.col("m").alias("v")))
+        now = materialise(spark, small.distinct(), "edges")
+        before, state = state, _state(now)
+        if state == before:
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(hash(v, u))")).first())

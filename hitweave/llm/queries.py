@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import decontaminate, pagetext, pii, quality, toxicity, warc
+from hitweave.llm import decontaminate, jaccard, pagetext, pii, quality, toxicity, warc
 from hitweave.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,7 +38,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op6_quality_classifier, op7_warc, op9_pii, op10_html_extraction)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_toxicity, op6_quality_classifier, op7_warc, op9_pii, op10_html_extraction)}
 #: SHA-1 in base32, five hexadecimal digits at a time.
 _BASE32 = """array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   1 + ((('0x' || substr(sha1(payload), CAST(1 + 5 * (k // 4) AS BIGINT), 5))::BIGINT >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31)::BIGINT, 1)), '')"""
