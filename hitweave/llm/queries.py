@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import decontaminate, imatch, jaccard, pagetext, pieces, pii, quality, toxicity, warc
+from hitweave.llm import decontaminate, imatch, jaccard, pagetext, pieces, pii, quality, toolcalls, toxicity, warc
 from hitweave.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link(spark, table(spark, sf_dir, "conversations"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_toxicity, op4_imatch, op6_quality_classifier, op7_warc, op8_sentencepiece, op9_pii, op10_html_extraction)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_toxicity, op4_imatch, op5_tool_call_linking, op6_quality_classifier, op7_warc, op8_sentencepiece, op9_pii, op10_html_extraction)}
 #: SHA-1 in base32, five hexadecimal digits at a time.
 _BASE32 = """array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   1 + ((('0x' || substr(sha1(payload), CAST(1 + 5 * (k // 4) AS BIGINT), 5))::BIGINT >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31)::BIGINT, 1)), '')"""
