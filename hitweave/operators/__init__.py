@@ -1 +1 @@
-"""Spark-native hit-stream analytics."""
+"""Batch operators."""

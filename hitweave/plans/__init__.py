@@ -1 +1 @@
-"""Spark-native hit-stream analytics."""
+"""Registered queries: their plans, and the SQL that each is held against."""

@@ -1 +1 @@
-"""Spark-native hit-stream analytics."""
+"""Sources and sinks."""

@@ -1 +1 @@
-"""Spark-native hit-stream analytics."""
+"""Structured Streaming operators."""
