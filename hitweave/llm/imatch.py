@@ -94,7 +94,8 @@ def fingerprints(spark: SparkSession, docs: DataFrame, least_share: float = LEAS
     terms are gathered by the same key, so they don't move again.
     """
     lex = materialise(spark, lexicon(docs, least_share, most_share), "lexicon")
-    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    # the same three columns everywhere, so that both uses of the texts share one shuffle; doc_id comes back from id at the end
+    base = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ring = materialise(spark, before(spark, base.groupBy("id", "h").agg(F.max(F.length("text")).alias("n_chars"))), "ring")
     placed = base.join(ring, ["id", "h"])
     heads = placed.select(
@@ -103,11 +104,11 @@ def fingerprints(spark: SparkSession, docs: DataFrame, least_share: float = LEAS
     ).dropDuplicates(["id", "h"])
     n = F.length("text")
     edited = (
-        placed.select("doc_id", "id", "h", "text").join(heads, ["id", "h"])
+        placed.select("id", "h", "text").join(heads, ["id", "h"])
         .withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head")))
     )
     facts = edited.select(
-        "doc_id", "id", "h", "next_id", "next_h", n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "id", "h", "next_id", "next_h", n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         F.xxhash64(F.lower("text")).alias("text_hash"), F.xxhash64(F.lower("edited")).alias("edited_hash"),
     )
     # 0 is in every text and in the lexicon, so that no text is lost in the join
@@ -119,11 +120,11 @@ def fingerprints(spark: SparkSession, docs: DataFrame, least_share: float = LEAS
         .select("id", "h", F.filter("marks", lambda m: (m.bitwiseAND(F.lit(1).cast("long")) == 0) & (m != 0)).alias("kept"), F.transform(F.filter("marks", lambda m: (m.bitwiseAND(F.lit(1).cast("long")) == 1) & (m != 1)), lambda m: m.bitwiseAND(F.lit(-2).cast("long"))).alias("edited_kept"))
     )
     prints = materialise(spark, facts.join(held, ["id", "h"]).select(
-        "doc_id", "id", "h", "next_id", "next_h", "n_chars", "edited_sha256",
+        "id", "h", "next_id", "next_h", "n_chars", "edited_sha256",
         fingerprint(F.col("kept"), F.col("text_hash")).alias("fingerprint"), fingerprint(F.col("edited_kept"), F.col("edited_hash")).alias("edited_fingerprint"),
     ), "prints")
     following = prints.groupBy(F.col("id").alias("next_id"), F.col("h").alias("next_h")).agg(F.max("fingerprint").alias("following"))
     return prints.join(following, ["next_id", "next_h"]).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("following")).alias("near_next"),
     )
