@@ -24,8 +24,10 @@ def weighted_moments(hits: DataFrame) -> DataFrame:
     m = g.select("label", "n", cx.alias("cx"), cy.alias("cy"), F.greatest(var("sxx", cx, cx), F.lit(0.0)).alias("vxx"), F.greatest(var("syy", cy, cy), F.lit(0.0)).alias("vyy"), var("sxy", cx, cy).alias("vxy"))
     spread = F.sqrt((F.col("vxx") - F.col("vyy")) ** 2 + 4 * F.col("vxy") ** 2)
     r = lambda c: F.round(c, 5)
-    theta = F.when(spread < 1e-6, 0.0).otherwise(F.atan2(2 * F.col("vxy"), F.col("vxx") - F.col("vyy")) / 2)
-    return m.select("label", "n", r(F.col("cx")).alias("cx"), r(F.col("cy")).alias("cy"), r(F.col("vxx")).alias("vxx"), r(F.col("vyy")).alias("vyy"), r(F.col("vxy")).alias("vxy"), F.round(theta, 4).alias("theta"), F.round(spread / (F.col("vxx") + F.col("vyy") + EPS), 4).alias("q_theta"))
+    angle = F.atan2(2 * F.col("vxy"), F.col("vxx") - F.col("vyy")) / 2
+    theta = F.when(spread < 1e-6, 0.0).when(angle < -1.5707, angle + F.pi()).otherwise(angle)  # a vertical axis is +pi/2
+    q = F.when(spread < 1e-6, 0.0).otherwise(spread / (F.col("vxx") + F.col("vyy") + EPS))
+    return m.select("label", "n", r(F.col("cx")).alias("cx"), r(F.col("cy")).alias("cy"), r(F.col("vxx")).alias("vxx"), r(F.col("vyy")).alias("vyy"), r(F.col("vxy")).alias("vxy"), F.round(theta, 4).alias("theta"), F.round(q, 4).alias("q_theta"))
 
 
 def angle_distance(a: Column, b: Column) -> Column:
@@ -115,4 +117,4 @@ def resampled_paths(hits: DataFrame, points: int = 128) -> DataFrame:
     part = F.when(F.col("n") == 1, 0.0).otherwise(F.col("step") * (F.col("n") - 1) / scale - F.col("i"))
     mix = lambda a, b: F.col(a) + F.when(F.col(b).isNull(), 0.0).otherwise((F.col(b) - F.col(a)) * part)
     p = dealt.select("label", F.col("step").cast("int").alias("step"), mix("x", "x1").alias("x"), mix("y", "y1").alias("y"), (mix("fine", "f1") / 16.0).alias("t"))
-    return p.select("label", "step", *(F.round(F.col(c) - F.avg(c).over(whole), 4).alias(c) for c in ("x", "y", "t")))
+    return p.select("label", "step", *(F.round(F.col(c) - F.avg(c).over(whole) + 1e-7, 4).alias(c) for c in ("x", "y", "t")))

@@ -46,8 +46,8 @@ def time_edges(hits: DataFrame, reach: int = 4) -> DataFrame:
     """Directed edges (source, src, dst) to the `reach` hits before and after in time order."""
     w = Window.partitionBy("source").orderBy("fine", "hit_id")
     steps = [s for s in range(-reach, reach + 1) if s]
-    other = F.explode(F.array(*(F.lead("hit_id", s).over(w) if s > 0 else F.lag("hit_id", -s).over(w) for s in steps)))
-    return hits.select("source", F.col("hit_id").alias("src"), other.alias("dst")).where("dst is not null")
+    near = hits.select("source", F.col("hit_id").alias("src"), F.array(*(F.lead("hit_id", s).over(w) if s > 0 else F.lag("hit_id", -s).over(w) for s in steps)).alias("near"))
+    return near.select("source", "src", F.explode("near").alias("dst")).where("dst is not null")
 
 
 def same_pixel_edges(hits: DataFrame, reach_ticks: float = 8.0) -> DataFrame:

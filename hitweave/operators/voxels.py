@@ -35,7 +35,7 @@ def down_bin(grid: DataFrame, bins: tuple[int, int, int] = (32, 64, 64), factors
     u, v, t = F.col("voxel") % nx, F.floor(F.col("voxel") / nx) % ny, F.floor(F.col("voxel") / (nx * ny))
     u = (nx - 1 - u) if mirror_x else u
     flat = (F.floor(t / ft) * (ny // fy) + F.floor(v / fy)) * (nx // fx) + F.floor(u / fx)
-    return grid.groupBy("label", flat.cast("int").alias("voxel")).agg(F.round(F.sum("value"), 5).alias("value"))
+    return grid.groupBy("label", flat.cast("int").alias("voxel")).agg(F.round(F.sum("value"), 6).alias("value"))
 
 
 def window_voxels(hits: DataFrame, factor: int = 2, time_factor: int = 16) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hitweave.plans import hit_queries  # noqa: F401  (registers its queries)
+from hitweave.plans import hit_queries, more_queries  # noqa: F401  (they register their queries)
 from hitweave.plans.proxy import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
