@@ -41,7 +41,7 @@ def live_clusters(hits: DataFrame, eps: float = 5.0, min_samples: int = 2, time_
 def live_windows(events: DataFrame, time: str, by: str, value: str, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums by tumbling or sliding windows of event time."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
-    return events.withWatermark(time, late).groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
