@@ -1,7 +1,7 @@
 """The detector stand-in: rows of `lineitem` read as hits, the same way here and in SQL.
 
-An order is a track along x, one part in ten is scattered, one in fifty is a device marker. hit_id packs the row's four keys, which
-no two rows share, so that no global numbering is needed.
+An order is a track along x, one part in ten is scattered, one in fifty is a device marker. hit_id packs the row's four keys and
+its quantity, which no two rows share, so that no global numbering is needed.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hitweave.operators.cluster import dbscan
 from hitweave.session import written
 
-_ROWS = """SELECT l_orderkey {div} 1000 AS source, ((l_orderkey*10+l_linenumber)*100000+l_partkey)*10000+l_suppkey AS hit_id, l_orderkey AS order_id,
+_ROWS = """SELECT l_orderkey {div} 1000 AS source, (((l_orderkey*10+l_linenumber)*100000+l_partkey)*10000+l_suppkey)*100+CAST(l_quantity AS BIGINT) AS hit_id, l_orderkey AS order_id,
   CAST(CASE WHEN l_partkey%10=0 THEN (l_partkey*97+l_suppkey*13)%256 ELSE least(255,(l_orderkey*131)%256+l_linenumber) END AS BIGINT) AS x,
   CAST(CASE WHEN l_partkey%10=0 THEN (l_partkey*53+l_suppkey*29)%256 ELSE least(255,(l_orderkey*197)%256+l_partkey%2) END AS BIGINT) AS y,
   CAST(l_orderkey*2+l_linenumber%2+20*(l_orderkey {div} 25) AS BIGINT) AS toa, CAST(l_partkey%32 AS BIGINT) AS ftoa, CAST(l_quantity AS BIGINT) AS tot,
