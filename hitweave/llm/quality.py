@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,8 +176,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, whose text scores at least `threshold`; the text is scored where it lies, without a shuffle."""
-    import pandas as pd
-
     model = learn(docs, labels)
 
     @F.pandas_udf("double")
