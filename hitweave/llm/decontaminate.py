@@ -151,7 +151,7 @@ class Index:
             table[n, : sizes[n]] = self.items[i]
         view, lengths = np.zeros((len(found), width), np.uint32), np.zeros(len(found), np.int64)
         for n, (d, i, s) in enumerate(found):
-            part = docs[d][max(0, s) : s + len(self.items[i])]
+            part = docs[d][max(0, s) : max(0, s + len(self.items[i]))]
             view[n, : len(part)], lengths[n] = part, len(part)
         hit = np.zeros(len(found), bool)
         for rep in range(self.repetitions):
