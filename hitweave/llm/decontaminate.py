@@ -286,11 +286,13 @@ def remove(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, recall: fl
     """The rows of docs, all columns, that leak no item; texts are looked at where they lie, without a shuffle."""
     out = docs
     for rows in blocks(benchmark, block_chars):
-        index = Index.build(rows, ratio, recall)
+        out = out.where(_clean(Index.build(rows, ratio, recall))("text"))
+    return out
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([not x for x in index.leaks([t or "" for t in texts])], dtype=bool)
 
-        out = out.where(clean("text"))
-    return out
+def _clean(index: Index):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not x for x in index.leaks([t or "" for t in texts])], dtype=bool)
+
+    return clean
