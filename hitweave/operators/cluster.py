@@ -130,13 +130,41 @@ def sessions(hits: DataFrame, gap: int = 50) -> DataFrame:
     return hits.withColumn("_start", starts).withColumn("session", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_start")
 
 
-BACKENDS = ("slab-dbscan", "stream-linker", "voxel-face", "voxel-edge", "voxel-corner")
+def windowed_dbscan(spark: SparkSession, hits: DataFrame, eps: float = 5.0, min_samples: int = 2, time_scale: float = 0.625, size: int = 250_000, overlap: int = 25_000) -> DataFrame:
+    """(source, hit_id, label) by clustering overlapping count windows one by one, for parity with such results.
+
+    Clusters of two windows that share a hit are one. Unlike `dbscan` this can differ from clustering whole sources where a window's edge
+    cuts a core's neighbours. Windows of `size` hits are tasks; a source's windows run side by side.
+    """
+    from pyspark.sql import Window
+
+    unit, step = 16.0 * time_scale, max(1, size - overlap)
+    w = Window.partitionBy("source").orderBy("fine", "hit_id")
+    placed = hits.select("source", "hit_id", "x", "y", "fine", (F.row_number().over(w) - 1).alias("pos"), F.count("*").over(Window.partitionBy("source")).alias("n"))
+    last = F.greatest(F.lit(0), F.ceil((F.col("n") - size) / step))
+    first = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / step) + 1)
+    dealt = placed.withColumn("slab", F.explode(F.sequence(first, F.least(last, F.floor(F.col("pos") / step))))).withColumn("own", F.lit(True))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = slab_labels(pdf, eps, unit, min_samples)
+        return got
+
+    local = written(spark, dealt.groupBy("source", "slab").applyInPandas(run, CLUSTERED), "windows")
+    shared = local.where("root >= 0").groupBy("hit_id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("a", "b").distinct()
+    joined = components(spark, shared).withColumnsRenamed({"node": "root", "component": "final"})
+    best = local.groupBy("source", "hit_id").agg(F.max("root").alias("root"))
+    return best.join(joined, "root", "left").select("source", "hit_id", F.coalesce("final", "root").alias("label"))
+
+
+BACKENDS = ("slab-dbscan", "windowed-dbscan", "stream-linker", "voxel-face", "voxel-edge", "voxel-corner")
 
 
 def cluster(spark: SparkSession, hits: DataFrame, backend: str = "slab-dbscan", eps: float = 5.0, min_samples: int = 2, time_scale: float = 0.625) -> DataFrame:
     """(source, hit_id, label) by a named backend; voxel backends take time_scale as the bin width and min_samples as least hits."""
     if backend == "slab-dbscan":
         return dbscan(spark, hits, eps, min_samples, time_scale).select("source", "hit_id", "label")
+    if backend == "windowed-dbscan":
+        return windowed_dbscan(spark, hits, eps, min_samples, time_scale)
     if backend == "stream-linker":
         return link_stream(spark, hits, eps, min_samples, time_scale)
     if backend in BACKENDS:

@@ -365,3 +365,40 @@ def scalar_functions(spark, d):
     p = _table(spark, d, "part")
     k = F.col("p_partkey")
     return p.select(k.alias("partkey"), fn.slug(F.col("p_name")).alias("slug"), fn.human_bytes(k * k * 300).alias("size"), fn.label_slot(k, 12).alias("slot"), fn.int_or(F.col("p_type"), -7).alias("number"))
+
+
+# ---- parameters and parity
+
+
+@query(f"{WR}{LABELS} SELECT hit_id, label FROM lab")
+def windowed_labels(spark, d):
+    from hitweave.operators.cluster import windowed_dbscan
+
+    return windowed_dbscan(spark, hits(spark, d), size=1024, overlap=256).select("hit_id", "label")
+
+
+@query()
+def parameter_stability(spark, d):
+    from hitweave.operators.tuning import stability
+
+    return stability(spark, hits(spark, d).where("source < 3"))
+
+
+@query()
+def parameter_grid(spark, d):
+    from hitweave.operators.tuning import grid_scores
+
+    return grid_scores(spark, hits(spark, d).where("source < 2"), (4.0, 5.0), (2,), (0.625,))
+
+
+@query(f"{WR}{PARTICLES} SELECT source, count(*) AS n, round(avg(n_hits),6) AS mean, round(quantile_cont(n_hits,0.1),6) AS p10, round(quantile_cont(n_hits,0.5),6) AS p50, round(quantile_cont(n_hits,0.9),6) AS p90, round(max(n_hits)::DOUBLE,6) AS max FROM part GROUP BY source")
+def size_summary(spark, d):
+    from hitweave.operators.tuning import summary
+
+    return summary(_particles(spark, d).withColumn("n_hits", F.col("n_hits").cast("double")), "n_hits", "source")
+
+
+@query("SELECT least(a,b) AS a, greatest(a,b) AS b, count(*) AS seen FROM (SELECT o_custkey%50 AS a, o_orderkey%50 AS b FROM orders) WHERE a<>b GROUP BY 1, 2")
+def unordered_pairs(spark, d):
+    o = _table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("a"), (F.col("o_orderkey") % 50).alias("b")).where("a <> b")
+    return o.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("seen"))
