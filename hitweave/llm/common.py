@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitweave.session import work_dir
+from hitweave.session import written as materialise  # noqa: F401  (the operators cut lineage with it)
+
 WORD = re.compile(r"\w+")
 
 
@@ -19,27 +21,8 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if now.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hitweave-"))
-        now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return now.get().rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage through a Parquet table in the shared folder, which outlives any executor."""
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
