@@ -124,7 +124,9 @@ def link(spark: SparkSession, chats: DataFrame, schemas: DataFrame | None = None
     )
     by_message = facts.groupBy("message").agg(F.array_sort(F.collect_list(piece)).alias("calls"), F.count("*").alias("n_calls"), F.count("result").alias("n_linked"), F.count("problem").alias("n_invalid"))
     orphans = linked.groupBy("message").agg(F.count(F.when(F.col("call").isNull(), 1)).alias("n_orphans"), F.array_sort(F.collect_list(F.struct("place", "id", "result", F.col("call").isNull().alias("orphan")))).alias("results"))
-    joined = found.join(by_message, "message", "left").join(orphans, "message", "left")
+    # only messages that can hold a mark meet their calls and results; all others stay where they are
+    can = F.coalesce(F.col("text").contains("<tool_") | (F.col("role") == "tool"), F.lit(False))
+    joined = found.where(can).join(by_message, "message", "left").join(orphans, "message", "left").unionByName(found.where(~can), allowMissingColumns=True)
     quoted = lambda c: F.coalesce(F.to_json(F.to_variant_object(F.array(c))), F.lit("[null]"))
     string = lambda c: F.when(c.isNull(), "null").otherwise(F.regexp_replace(quoted(c), r"(?s)^\[(.*)\]$", "$1"))
     none = F.array().cast("array<string>")
