@@ -3,10 +3,10 @@
 Writing. Every page becomes an HTTP response record whose body is chunked; a payload that another page holds too is written once,
 by the page with the largest id, and the others become revisit records that refer to it. Blocks longer than a segment are cut:
 the first segment keeps the record's type, the rest are continuation records that name its id, their number, and (the last) the
-total length. Archives are written by Spark's own text writer, whose line separator is the end of a record; it therefore
-works on any file system that Spark writes.
+total length. Archives are gzipped files written by Spark's own text writer, whose line separator is the end of a record; it
+therefore works on any file system that Spark writes.
 
-Reading. Archives are read whole (their size is bounded by `archive_records`), records are cut by Content-Length; continuation records
+Reading. Archives, gzipped or plain, are read whole (their size is bounded by `archive_records`), records are cut by Content-Length; continuation records
 are grouped by origin, ordered by segment number, checked against the total length, joined, and their chunked framing decoded. Only
 records of more than one segment are shuffled.
 
@@ -19,6 +19,7 @@ error for that record, in `problem`, and its payload is null; extra columns are
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -120,7 +121,7 @@ def write(pages: DataFrame, path: str, segment_bytes: int = 8192, chunk_bytes: i
                 yield pa.RecordBatch.from_arrays([pa.array(out[k : k + 1000], pa.binary())], ["record"])
 
     rows = plan(pages, least_bytes).select(F.monotonically_increasing_id().cast("string").alias("key"), "page_id", "url", "payload", "digest", "refers_to")
-    rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", archive_records).text(path)
+    rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
 
 
 def parse(content: bytes) -> Iterator[dict]:
@@ -158,7 +159,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 held = []
-                for r in parse(content.as_py()):
+                raw = content.as_py()
+                for r in parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     held.append(r)
                     if len(held) == 1000:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
