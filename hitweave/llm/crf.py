@@ -6,6 +6,7 @@ Sequences of unequal length are packed by position, longest first, so that one s
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,14 +101,18 @@ def fit(sequences: list[list], labels: list[list[int]], features_of, states: int
     w = np.ones(len(lengths)) if weight is None else np.asarray(weight, float)
     w, lengths = w[keep], lengths[keep]
     per_token = np.repeat(w, lengths)
-    bags = [tuple(features_of(x)) for x in forms]
-    seen: dict = {}
-    for b, c in zip(bags, np.bincount(flat, minlength=len(forms)).tolist()):
-        for f in b:
-            seen[f] = seen.get(f, 0) + c
-    names = {f: i for i, f in enumerate(f for f, c in seen.items() if c >= least)}
-    rows = np.array([i for i, b in enumerate(bags) for f in b if f in names], np.int64)
-    cols = np.array([names[f] for b in bags for f in b if f in names], np.int64)
+    # features become numbers as they are met, so that no string is held more than once
+    found: dict = {}
+    numbers, sizes = array("q"), []
+    for x in forms:
+        before = len(numbers)
+        numbers.extend(found.setdefault(f, len(found)) for f in features_of(x))
+        sizes.append(len(numbers) - before)
+    cols, rows = np.array(numbers, np.int64), np.repeat(np.arange(len(forms)), np.array(sizes, np.int64))
+    common = np.bincount(cols, np.bincount(flat, minlength=len(forms))[rows], len(found)) >= least
+    names = {f: i for i, f in enumerate(f for f, i in found.items() if common[i])}
+    rows, cols = rows[common[cols]], (np.cumsum(common) - 1)[cols[common[cols]]]
+    del found, numbers
     theta, trans, start = np.zeros((len(names), states)), np.zeros((states, states)), np.zeros(states)
     if not len(flat):
         return LinearChain({}, trans, start)

@@ -14,6 +14,7 @@ changed.
 from __future__ import annotations
 
 import itertools
+import sys
 from collections import Counter
 from dataclasses import dataclass
 
@@ -85,13 +86,25 @@ class Tagger:
         return self.chain.marginals(np.stack([np.zeros(len(flat)), flat], 1), lengths)[:, 1], lengths
 
 
+def tokenised(texts: list[str]) -> list[list[str]]:
+    """Tokens of each text, equal ones held once."""
+    return [[sys.intern(w) for w in words(t)] for t in texts]
+
+
 def evidence(tokens: list[list[str]], y: np.ndarray, ratio: float = 4.0, share: float = 0.01) -> set[str]:
     """Features in at least `share` of toxic texts, and in `ratio` times the share of the others."""
-    seen = (Counter(), Counter())
+    least, seen = max(3, share * (y == 1).sum()), Counter()
+    for t, v in zip(tokens, y):
+        if v:
+            seen.update({f for w in set(t) for f in token_features(w)})
+    toxic = {f: c for f, c in seen.items() if c >= least}
+    del seen
+    other: Counter = Counter()
     for t, v in zip(tokens, y):
-        seen[int(v)].update({f for w in set(t) for f in token_features(w)})
+        if not v:
+            other.update({f for w in set(t) for f in token_features(w) if f in toxic})
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    return {f for f, c in seen[1].items() if c >= max(3, share * n1) and c / n1 >= ratio * (seen[0][f] + 0.5) / n0}
+    return {f for f, c in toxic.items() if c / n1 >= ratio * (other[f] + 0.5) / n0}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -113,7 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars:
     if len(np.unique(y)) < 2:
         total = sum(counts.values())
         return ToxicityModel(crf.LinearChain({}, np.zeros((2, 2)), np.zeros(2)), np.zeros(5), np.zeros(4), np.ones(4), counts.get(1, 0) / total if total else 0.5)
-    tokens = [words(t) for _, t, _ in rows]
+    tokens = tokenised([t for _, t, _ in rows])
+    del rows
     marks = evidence(tokens, y)
     toxic_form = {w: any(f in marks for f in token_features(w)) for t in tokens for w in set(t)}
     tags = [[int(toxic_form[w]) if v else 0 for w in t] for t, v in zip(tokens, y)]
