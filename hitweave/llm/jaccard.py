@@ -216,5 +216,6 @@ def keep_first(spark: SparkSession, docs: DataFrame, threshold: float = 0.8) ->
     """The rows of docs, all columns, without those whose group of near copies has a lesser doc_id; a repeated row stays once."""
     found = materialise(spark, join(spark, docs, threshold), "near")
     repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    kept = docs.join(found.where("doc_id <> class_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # the removed ids grow with the corpus: the same join at every size, rather than a broadcast while they happen to be few
+    kept = docs.join(found.where("doc_id <> class_id").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
