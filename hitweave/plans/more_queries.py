@@ -381,7 +381,7 @@ def windowed_labels(spark, d):
 def parameter_stability(spark, d):
     from hitweave.operators.tuning import stability
 
-    return stability(spark, hits(spark, d).where("source < 3"))
+    return stability(spark, hits(spark, d))
 
 
 @query()
