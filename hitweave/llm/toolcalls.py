@@ -19,10 +19,10 @@ not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import materialise
+from hitweave.llm.common import materialise, shared_path
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 RESULT = r"(?s)<tool_result>(.*?)</tool_result>"
@@ -84,26 +84,36 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     ).drop("known", "wrong")
 
 
-def levels(spark: SparkSession, calls: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def levels(spark: SparkSession, calls: DataFrame) -> DataFrame:
     """(call, level): 0 without references, else one more than the greatest level referred to; -1 in or behind a cycle.
 
-    Each round joins the calls that are still open with the levels found so far; there are as many rounds as the longest chain.
+    An open call has references to open calls (`needs`, `steps` away) and a `floor`, the level that its settled references give. Each
+    round settles the calls without open references, and a reference to a call with just one open reference skips to that one, so a
+    chain halves with each round. Rounds go on until none settles a call: what is open then is in or behind a cycle.
     """
     firsts = calls.where("first").select("conv_id", F.col("id").alias("ref"), F.col("call").alias("needs"))
     refs = calls.select("call", "conv_id", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$([^"]+)"'), F.lit(1)))).alias("ref")).join(firsts, ["conv_id", "ref"]).select("call", "needs")
-    refs = materialise(spark, refs, "references")
-    done = materialise(spark, calls.select("call").join(refs.select("call").distinct(), "call", "left_anti").withColumn("level", F.lit(0)), "levels")
-    open_ = refs
-    for _ in range(most_rounds):
-        if open_.isEmpty():
+    open_ = materialise(spark, refs.withColumn("steps", F.lit(1).cast("long")).withColumn("floor", F.lit(0).cast("long")), "references")
+    ready = calls.select("call").join(open_.select("call").distinct(), "call", "left_anti").withColumn("level", F.lit(0).cast("long"))
+    path, turn, own = shared_path(spark, "levels"), 0, Window.partitionBy("call")
+    while True:
+        ready.write.parquet(f"{path}/round={turn}")
+        ready = spark.read.schema("call long, level long").parquet(f"{path}/round={turn}")
+        if open_.isEmpty() or ready.isEmpty():
             break
-        state = open_.join(done.withColumnsRenamed({"call": "needs"}), "needs", "left").groupBy("call").agg(F.count("*").alias("n"), F.count("level").alias("known"), F.max("level").alias("top"))
-        ready = materialise(spark, state.where("n = known").select("call", (F.col("top") + 1).alias("level")), "levels")
-        if ready.isEmpty():
-            break
-        done = done.unionByName(ready)
-        open_ = materialise(spark, open_.join(ready, "call", "left_anti"), "references")
-    return done.unionByName(open_.select("call").distinct().withColumn("level", F.lit(-1)))
+        met = open_.join(ready.withColumnRenamed("call", "needs"), "needs", "left")
+        met = met.select("call", "needs", "steps", F.max(F.greatest("floor", F.col("level") + F.col("steps"))).over(own).alias("floor"), F.col("level").isNull().alias("is_open"), F.count_if(F.col("level").isNull()).over(own).alias("n_open"))
+        met = materialise(spark, met, "references")
+        ready = met.where("n_open = 0").groupBy("call").agg(F.max("floor").alias("level"))
+        skips = met.where("is_open and n_open = 1").select(F.col("call").alias("needs"), F.col("needs").alias("via"), F.col("steps").alias("more"), F.col("floor").alias("via_floor"))
+        # round a cycle the steps would double without end; no chain is as long as the bound
+        skipped = met.where("is_open").join(skips, "needs", "left").select(
+            "call", F.coalesce("via", "needs").alias("needs"), F.least(F.col("steps") + F.coalesce("more", F.lit(0)), F.lit(1 << 60)).alias("steps"), F.greatest("floor", F.when(F.col("via").isNotNull(), F.least(F.col("via_floor") + F.col("steps"), F.lit(1 << 60)))).alias("floor")
+        )
+        open_ = materialise(spark, skipped.groupBy("call", "needs").agg(F.max("steps").alias("steps"), F.max("floor").alias("floor")), "references")
+        turn += 1
+    done = spark.read.schema("call long, level long").parquet(*(f"{path}/round={k}" for k in range(turn + 1)))
+    return done.unionByName(open_.select("call").distinct().withColumn("level", F.lit(-1).cast("long"))).withColumn("level", F.col("level").cast("int"))
 
 
 def link(spark: SparkSession, chats: DataFrame, schemas: DataFrame | None = None) -> DataFrame:

@@ -109,6 +109,17 @@ def test_conversations_without_calls(spark, sf):
     assert toolcalls.link(spark, chats.where("turn < 0")).count() == 0
 
 
+def test_levels_of_chains_and_cycles(spark):
+    """A chain of 1,200 calls, a call on both its ends, calls that refer to the two before them, and a cycle with a call behind it."""
+    ref = {0: [], 1200: [0, 1199], 1300: [], 1301: [1300], 2000: [2001], 2001: [2002], 2002: [2000], 2003: [2000, 0], 2004: [2004]}
+    ref |= {i: [i - 1] for i in range(1, 1200)} | {i: [i - 1, i - 2] for i in range(1302, 1312)}
+    rows = [(1, i, "assistant", call(str(i), "fetch", url=[f"${k}" for k in r])) for i, r in ref.items()]
+    got = {}
+    for r in toolcalls.link(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        got[r["turn"]] = json.loads(r["message_json"])["calls"][0]["level"]
+    assert got == {i: i for i in range(1201)} | {i: i - 1300 for i in range(1300, 1312)} | {i: -1 for i in range(2000, 2005)}
+
+
 # ---- archives
 
 
