@@ -10,8 +10,9 @@ as the variant type writes them), with its calls in their topological order and
 
 One row a message leaves, never a whole conversation, so that a conversation of any length is spread over all tasks.
 
-Defined cases: null text counts as empty; a null role stays null; marks that hold no JSON object are `malformed` and stay in the
-text; the first call (by turn, then place) of an identifier is the one that results link to, later ones are `repeated`; a
+Defined cases: null text counts as empty; a null role stays null; a mark ends at its first close; call marks
+that hold no JSON object, or none with an identifier, a name and JSON arguments, are listed (as `malformed` where identifier or
+name lacks) and stay in the text, as do result marks without an identifier or valid JSON; the first call (by turn, then place) of an identifier is the one that results link to, later ones are `repeated`; a
 result without a call is an `orphan`; a call without a result has none; calls in a cycle of references, and calls that depend on
 those, have level -1 and come last; repeated rows give repeated messages; null conversations link to nothing; extra columns are
 not read.
@@ -53,20 +54,35 @@ def messages(chats: DataFrame) -> DataFrame:
 
 
 def marked(found: DataFrame, pattern: str, bare_role: str | None) -> DataFrame:
-    """One row a mark: message, conv_id, turn, place (from 0), body."""
-    bodies = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+    """One row a mark: message, conv_id, turn, place (from 0), body, and where the mark starts and stops in the text."""
+    wholes, bodies = (F.regexp_extract_all("text", F.lit(pattern), F.lit(k)) for k in (0, 1))
+    parts = F.arrays_zip(F.split("text", pattern).alias("gap"), wholes.alias("whole"), bodies.alias("body"))
+    spot = lambda p, at: F.struct(p["body"].alias("body"), at.alias("start"), (at + F.length(p["whole"])).alias("stop"))
+    none = F.array().cast("array<struct<body:string,start:int,stop:int>>")
+    step = lambda acc, p: F.when(p["whole"].isNull(), acc).otherwise(F.struct((acc["at"] + F.length(p["gap"]) + F.length(p["whole"])).alias("at"), F.concat(acc["spots"], F.array(spot(p, acc["at"] + F.length(p["gap"])))).alias("spots")))
+    spots = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spots")), step)["spots"]
     if bare_role:
-        bodies = F.when((F.size(bodies) == 0) & (F.col("role") == bare_role) & F.get_json_object("text", "$.id").isNotNull(), F.array("text")).otherwise(bodies)
-    return found.where(F.col("text").contains("<tool_") | (F.col("role") == F.lit(bare_role or ""))).select("message", "conv_id", "turn", F.posexplode(bodies).alias("place", "body"))
+        bare = (F.size(bodies) == 0) & (F.col("role") == bare_role) & F.get_json_object("text", "$.id").isNotNull()
+        spots = F.when(bare, F.array(F.struct(F.col("text").alias("body"), F.lit(0).alias("start"), F.length("text").alias("stop")))).otherwise(spots)
+    can = found.where(F.col("text").contains("<tool_") | (F.col("role") == F.lit(bare_role or "")))
+    return can.select("message", "conv_id", "turn", F.posexplode(spots).alias("place", "spot")).select("message", "conv_id", "turn", "place", "spot.*")
+
+
+def without(text: Column, cuts: Column) -> Column:
+    """The text without the stretches (start, stop) of `cuts`, which may overlap."""
+    cut = lambda acc, c: F.struct(F.greatest(acc["at"], c["stop"]).alias("at"), F.concat(acc["kept"], F.when(c["start"] > acc["at"], F.substring(text, acc["at"] + 1, c["start"] - acc["at"])).otherwise("")).alias("kept"))
+    return F.aggregate(F.array_sort(cuts), F.struct(F.lit(0).alias("at"), F.lit("").alias("kept")), cut, lambda acc: F.concat(acc["kept"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def calls_of(found: DataFrame) -> DataFrame:
     at = lambda k: F.get_json_object("body", f"$.{k}")
-    return marked(found, CALL, None).select("message", "conv_id", "turn", "place", "body", at("id").alias("id"), at("name").alias("name"), canonical(F.coalesce(at("arguments"), F.lit("{}"))).alias("arguments"))
+    calls = marked(found, CALL, None).select("message", "conv_id", "turn", "place", "body", "start", "stop", at("id").alias("id"), at("name").alias("name"), canonical(F.coalesce(at("arguments"), F.lit("{}"))).alias("arguments"))
+    # the mark leaves the text only where the call holds what it says
+    return calls.withColumn("told", F.coalesce(canonical(F.col("body")).startswith("{"), F.lit(False)) & F.col("id").isNotNull() & F.col("name").isNotNull() & F.col("arguments").isNotNull())
 
 
 def results_of(found: DataFrame) -> DataFrame:
-    return marked(found, RESULT, "tool").select("message", "conv_id", "turn", "place", "body", F.get_json_object("body", "$.id").alias("id"), canonical("body").alias("result"))
+    return marked(found, RESULT, "tool").select("message", "conv_id", "turn", "place", "body", "start", "stop", F.get_json_object("body", "$.id").alias("id"), canonical("body").alias("result"))
 
 
 def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -132,8 +148,8 @@ def link(spark: SparkSession, chats: DataFrame, schemas: DataFrame | None = None
     piece = F.struct(
         F.when(F.col("level") < 0, 2**31 - 1).otherwise(F.col("level")).alias("order"), F.col("place"), F.col("id"), F.col("name"), F.col("arguments"), F.col("result"), F.col("problem"),
     )
-    by_message = facts.groupBy("message").agg(F.array_sort(F.collect_list(piece)).alias("calls"), F.count("*").alias("n_calls"), F.count("result").alias("n_linked"), F.count("problem").alias("n_invalid"))
-    orphans = linked.groupBy("message").agg(F.count(F.when(F.col("call").isNull(), 1)).alias("n_orphans"), F.array_sort(F.collect_list(F.struct("place", "id", "result", F.col("call").isNull().alias("orphan")))).alias("results"))
+    by_message = facts.groupBy("message").agg(F.array_sort(F.collect_list(piece)).alias("calls"), F.count("*").alias("n_calls"), F.count("result").alias("n_linked"), F.count("problem").alias("n_invalid"), F.collect_list(F.when(F.col("told"), F.struct("start", "stop"))).alias("call_cuts"))
+    orphans = linked.groupBy("message").agg(F.count(F.when(F.col("call").isNull(), 1)).alias("n_orphans"), F.array_sort(F.collect_list(F.struct("place", "id", "result", F.col("call").isNull().alias("orphan")))).alias("results"), F.collect_list(F.struct("start", "stop")).alias("result_cuts"))
     # only messages that can hold a mark meet their calls and results; all others stay where they are
     can = F.coalesce(F.col("text").contains("<tool_") | (F.col("role") == "tool"), F.lit(False))
     joined = found.where(can).join(by_message, "message", "left").join(orphans, "message", "left").unionByName(found.where(~can), allowMissingColumns=True)
@@ -142,8 +158,9 @@ def link(spark: SparkSession, chats: DataFrame, schemas: DataFrame | None = None
     none = F.array().cast("array<string>")
     call_text = F.coalesce(F.transform("calls", lambda x: F.concat(F.lit('{"arguments":'), F.coalesce(x["arguments"], F.lit("null")), F.lit(',"id":'), string(x["id"]), F.lit(',"level":'), F.when(x["order"] == 2**31 - 1, "-1").otherwise(x["order"].cast("string")), F.lit(',"name":'), string(x["name"]), F.lit(',"problem":'), string(x["problem"]), F.lit(',"result":'), F.coalesce(x["result"], F.lit("null")), F.lit("}"))), none)
     result_text = F.coalesce(F.transform("results", lambda x: F.concat(F.lit('{"id":'), string(x["id"]), F.lit(',"orphan":'), x["orphan"].cast("string"), F.lit(',"result":'), x["result"], F.lit("}"))), none)
-    rest = F.trim(F.regexp_replace(F.regexp_replace("text", r"(?s)<tool_call>\s*\{.*?\}\s*</tool_call>", ""), r"(?s)<tool_result>\s*\{.*?\}\s*</tool_result>", ""))
-    content = F.when(F.coalesce(F.col("n_calls"), F.lit(0)) + F.size(result_text) > 0, F.when((F.col("role") == "tool") & ~F.col("text").contains("<tool_"), F.lit("")).otherwise(rest)).otherwise(F.col("text"))
+    no_cuts = F.array().cast("array<struct<start:int,stop:int>>")
+    cuts = F.concat(F.coalesce("call_cuts", no_cuts), F.coalesce("result_cuts", no_cuts))
+    content = F.when(F.size(cuts) > 0, F.trim(without(F.col("text"), cuts))).otherwise(F.col("text"))
     message = F.concat(F.lit('{"calls":['), F.concat_ws(",", call_text), F.lit('],"content":'), string(content), F.lit(',"results":['), F.concat_ws(",", result_text), F.lit('],"role":'), string(F.col("role")), F.lit("}"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return joined.select("conv_id", "turn", "role", zero("n_calls"), zero("n_linked"), zero("n_invalid"), zero("n_orphans"), message.alias("message_json"))

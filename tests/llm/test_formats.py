@@ -120,6 +120,16 @@ def test_levels_of_chains_and_cycles(spark):
     assert got == {i: i for i in range(1201)} | {i: i - 1300 for i in range(1300, 1312)} | {i: -1 for i in range(2000, 2005)}
 
 
+def test_marks_that_give_nothing_stay_in_the_text(spark):
+    good, done = call("a", "search", query="q"), '<tool_result>{"id":"a","content":1}</tool_result>'
+    kept = ['<tool_result>{"content":"no id"}</tool_result>', '<tool_result>{"id":"a", broken}</tool_result>', "<tool_call>{broken</tool_call>", '<tool_call>{"id":"x","other":5}</tool_call>', '<tool_call>{"id":"y","name":"search","arguments":"no json"}</tool_call>']
+    rows = [(1, k, "assistant", f"é {x} text {good} after {done} end") for k, x in enumerate(kept)] + [(1, 9, "assistant", f"{good}{done}\n{good}"), (1, 10, "tool", '{"id":"a","content":"<tool_ of it"}')]
+    got = {r["turn"]: json.loads(r["message_json"]) for r in toolcalls.link(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for k, x in enumerate(kept):
+        assert got[k]["content"] == f"é {x} text  after  end" and [r["id"] for r in got[k]["results"]] == ["a"] and sum(c["name"] == "search" and c["id"] == "a" for c in got[k]["calls"]) == 1
+    assert got[9]["content"].strip() == "" and len(got[9]["calls"]) == 2 and got[10]["content"] == ""
+
+
 # ---- archives
 
 
