@@ -52,15 +52,25 @@ def _nearest_block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("distance", F.round("distance", 5))
 
 
-def disjoint_pairs(pairs: DataFrame, n: int) -> list[tuple[int, int, float]]:
-    """Greedy pairs in ascending distance, each id once, at most n: sequential, over a bounded top list."""
-    used, out = set(), []
-    for r in pairs.orderBy("distance", "a", "b").limit(max(50 * n, 1000)).collect():
-        if r["a"] not in used and r["b"] not in used:
-            used |= {r["a"], r["b"]}
-            out.append((r["a"], r["b"], r["distance"]))
-            if len(out) == n:
-                break
+def disjoint_pairs(pairs: DataFrame, n: int, block: int = 1000) -> list[tuple[int, int, float]]:
+    """Greedy pairs in ascending distance, each id once, at most n: sequential, until n are found or no pair is left.
+
+    Candidates come in blocks of the nearest pairs without the ids used so far (at most 2 n, a broadcast), so a block whose pairs all
+    share an id costs one more round, not the pairs behind it. Each block gives at least one pair.
+    """
+    used, out, left = set(), [], pairs
+    while len(out) < n:
+        rows = left.orderBy("distance", "a", "b").limit(max(50 * n, block)).collect()
+        for r in rows:
+            if r["a"] not in used and r["b"] not in used:
+                used |= {r["a"], r["b"]}
+                out.append((r["a"], r["b"], r["distance"]))
+                if len(out) == n:
+                    break
+        if not rows:
+            break
+        ids = pairs.sparkSession.createDataFrame([(i,) for i in sorted(used)], "id long")
+        left = pairs.join(F.broadcast(ids.withColumnRenamed("id", "a")), "a", "left_anti").join(F.broadcast(ids.withColumnRenamed("id", "b")), "b", "left_anti")
     return out
 
 

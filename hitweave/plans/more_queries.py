@@ -14,6 +14,7 @@ from hitweave.operators import spatial as sp
 from hitweave.operators import voxels as vx
 from hitweave.plans.hit_queries import _particles
 from hitweave.plans.proxy import HITS, LABELS, PARTICLES, hits, labelled, labels, query
+from hitweave.session import written
 from hitweave.sources.files import tree_digest, union_rows, verify_manifest
 
 W, WR = "WITH ", "WITH RECURSIVE "
@@ -311,7 +312,7 @@ def vector_components(spark, d):
 @query()
 def vector_pairs(spark, d):
     pairs = em.nearest(_table(spark, d, "embeddings"), 5).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
-    return spark.createDataFrame(em.disjoint_pairs(pairs, 20), "a long, b long, distance double")
+    return spark.createDataFrame(em.disjoint_pairs(written(spark, pairs, "pairs"), 20), "a long, b long, distance double")
 
 
 # ---- events

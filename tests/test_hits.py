@@ -180,3 +180,13 @@ def test_round_trip_of_particles(spark, tmp_path):
 def test_empty_hits(spark):
     none = hits(spark, [(0, 0, 0)]).where("hit_id < 0")
     assert cl.dbscan(spark, none).count() == 0 and cl.voxel_components(spark, none).count() == 0
+
+
+def test_disjoint_pairs_go_on_past_equal_vectors(spark):
+    """1,500 pairs at distance 0 share one id; the pairs behind them are found all the same, and pairs with an end run out."""
+    from hitweave.operators.embeddings import disjoint_pairs
+
+    rows = [(0, i, 0.0) for i in range(1, 1501)] + [(2000 + 2 * i, 2001 + 2 * i, 1.0 + i) for i in range(5)] + [(1, 2000, 0.5)]
+    pairs = spark.createDataFrame(rows, "a long, b long, distance double")
+    want = [(0, 1, 0.0), (2000, 2001, 1.0), (2002, 2003, 2.0), (2004, 2005, 3.0), (2006, 2007, 4.0), (2008, 2009, 5.0)]
+    assert disjoint_pairs(pairs, 4) == want[:4] and disjoint_pairs(pairs, 20) == want
