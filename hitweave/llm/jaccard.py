@@ -28,7 +28,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hitweave.llm.common import arrow_map, materialise, words
@@ -158,18 +158,28 @@ def _lowest(nodes: list[int], pairs: np.ndarray) -> dict[int, int]:
     return {x: low[root(x)] for x in parent}
 
 
+def text_digest() -> Column:
+    """Digest by which rows of one doc_id are told apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 400) -> DataFrame:
     """doc_id, class_id, n_links of every row of docs."""
+    return classed(spark, docs, threshold, tolerance, block).select("doc_id", "class_id", "n_links")
+
 
-    def prepare(ids: list, texts: list) -> dict:
+def classed(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 400) -> DataFrame:
+    """doc_id, text_digest, component (null for a text without words), class_id, n_links of every row of docs."""
+
+    def prepare(ids: list, texts: list, digests: list) -> dict:
         nodes, bands = [], []
         for t in texts:
             s = shingles(t or "")
             nodes.append(set_digest(s) if len(s) else None)
             bands.append(band_keys(signature(s)) if len(s) else [])
-        return {"doc_id": ids, "node": nodes, "bands": bands}
+        return {"doc_id": ids, "text_digest": digests, "node": nodes, "bands": bands}
 
-    prepared = materialise(spark, arrow_map(docs, prepare, "doc_id long, node long, bands array<long>", "doc_id", "text"), "shingled")
+    prepared = materialise(spark, arrow_map(docs.select("doc_id", "text", text_digest().alias("text_digest")), prepare, "doc_id long, text_digest long, node long, bands array<long>", "doc_id", "text", "text_digest"), "shingled")
     classes = materialise(spark, prepared.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("bands").alias("bands")), "classes")
     keys = classes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
@@ -206,16 +216,28 @@ def join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolerance
     whole = classes.select("node", "first_id", "copies").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = whole.groupBy("component").agg(F.min("first_id").alias("class_id"))
     counts = verified.groupBy("node").agg(F.sum("linked").alias("linked"))
-    facts = whole.join(names, "component").join(counts, "node", "left").select("node", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return prepared.select("doc_id", "node").join(facts, "node", "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    facts = whole.join(names, "component").join(counts, "node", "left").select("node", "component", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return prepared.select("doc_id", "text_digest", "node").join(facts, "node", "left").select(
+        "doc_id", "text_digest", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, without those whose group of near copies has a lesser doc_id; a repeated row stays once."""
-    found = materialise(spark, join(spark, docs, threshold), "near")
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    # the removed ids grow with the corpus: the same join at every size, rather than a broadcast while they happen to be few
-    kept = docs.join(found.where("doc_id <> class_id").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """The rows of docs, all columns, without those whose group of near copies has a lesser doc_id; a repeated row stays once.
+
+    Rows are told apart by doc_id and text: other texts under the same doc_id are judged by themselves, and of the rows of one
+    doc_id whose texts are near copies one stays. Rows without doc_id have no lesser one, and all of them stay.
+    """
+    found = materialise(spark, classed(spark, docs, threshold), "near")
+    known = found.where("doc_id is not null")
+    # of the rows that have their class's doc_id, those of one text stay; two classes can have the same doc_id
+    first = F.min("text_digest").over(Window.partitionBy("doc_id", "component"))
+    other = known.where("doc_id = class_id and component is not null").withColumn("first", first).where("text_digest <> first")
+    removed = known.where("doc_id <> class_id").select("doc_id", "text_digest").unionByName(other.select("doc_id", "text_digest")).distinct()
+    repeated = not known.groupBy("doc_id", "text_digest").count().where("count > 1").isEmpty()
+    # the removed keys grow with the corpus: the same join at every size, rather than a broadcast while they happen to be few
+    keyed = docs.withColumn("_digest", text_digest())
+    kept = keyed.join(removed.select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_removed")).hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_removed")), "left_anti")
+    if repeated:
+        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "_digest"]))
+    return kept.select(*docs.columns)

@@ -126,3 +126,12 @@ def test_join_cases(spark, messy, none):
     assert kept.columns == messy.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [0, 1, 2, 3, 5, 7, 8, 9]
     assert kept.where("doc_id is null").count() == 1
+
+
+def test_keep_first_tells_rows_apart_by_text(spark):
+    """Rows without doc_id all stay; texts under one doc_id are judged by themselves, also where one of them is a near copy."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, a), (1, a), (1, b), (2, a), (2, c), (3, c + " more"), (None, d), (None, d), (None, a), (None, None), (4, None), (4, ""), (4, " "), (5, d), (5, d + " more")]
+    kept = jc.keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), (r["text"] or "")[:1]) for r in kept)
+    assert got == [(-1, ""), (-1, "a"), (-1, "d"), (-1, "d"), (1, "a"), (1, "b"), (2, "c"), (4, ""), (4, " "), (5, "d")]
