@@ -44,12 +44,9 @@ def sweep_pairs(x: np.ndarray, y: np.ndarray, fine: np.ndarray, eps: float, unit
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
 
 
-def slab_labels(pdf: pd.DataFrame, eps: float, unit: float, min_samples: int) -> pd.DataFrame:
-    """Root, kind and ownership of a slab's hits: the root of a core is the least hit_id of its component in the slab, that of a
-    border hit is its core: the first by row, column, time and id offset."""
-    pdf = pdf.sort_values(["fine", "hit_id"], kind="stable")
-    x, y, fine, ids = (pdf[c].to_numpy(np.int64) for c in ("x", "y", "fine", "hit_id"))
-    a, b = sweep_pairs(x, y, fine, eps, unit)
+def roots_of(x: np.ndarray, y: np.ndarray, fine: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Root of each hit (-1 for noise) and whether it is a core, from the pairs within eps: the root of a core is the least hit_id of
+    its component, that of a border hit is its core: the first by row, column, time and id offset."""
     degree = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
     core = degree + 1 >= min_samples
     both = core[a] & core[b]
@@ -57,7 +54,6 @@ def slab_labels(pdf: pd.DataFrame, eps: float, unit: float, min_samples: int) ->
     root = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(root, label, ids)
     root = np.where(core, root[label], -1)
-    kind = np.where(core, "core", "noise").astype(object)
     if min_samples > 2:
         s, c = np.concatenate([a, b]), np.concatenate([b, a])
         pick = ~core[s] & core[c]
@@ -65,7 +61,17 @@ def slab_labels(pdf: pd.DataFrame, eps: float, unit: float, min_samples: int) ->
         order = np.lexsort((ids[c], fine[c], x[c] - x[s], y[c] - y[s], s))
         s, c = s[order], c[order]
         first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-        root[s[first]], kind[s[first]] = root[c[first]], "border"
+        root[s[first]] = root[c[first]]
+    return root, core
+
+
+def slab_labels(pdf: pd.DataFrame, eps: float, unit: float, min_samples: int) -> pd.DataFrame:
+    """Root, kind and ownership of a slab's hits."""
+    pdf = pdf.sort_values(["fine", "hit_id"], kind="stable")
+    x, y, fine, ids = (pdf[c].to_numpy(np.int64) for c in ("x", "y", "fine", "hit_id"))
+    a, b = sweep_pairs(x, y, fine, eps, unit)
+    root, core = roots_of(x, y, fine, ids, a, b, min_samples)
+    kind = np.where(core, "core", np.where(root >= 0, "border", "noise")).astype(object)
     return pd.DataFrame({"source": pdf["source"].to_numpy(), "hit_id": ids, "root": root, "kind": kind, "own": pdf["own"].to_numpy()})
 
 

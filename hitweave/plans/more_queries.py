@@ -387,9 +387,9 @@ def parameter_stability(spark, d):
 
 @query()
 def parameter_grid(spark, d):
-    from hitweave.operators.tuning import grid_scores
+    from hitweave.operators.tuning import EPS_GRID, MIN_SAMPLES_GRID, TIME_SCALE_GRID, grid_scores
 
-    return grid_scores(spark, hits(spark, d).where("source < 2"), (4.0, 5.0), (2,), (0.625,))
+    return grid_scores(spark, hits(spark, d), EPS_GRID, MIN_SAMPLES_GRID, TIME_SCALE_GRID)
 
 
 @query(f"{WR}{PARTICLES} SELECT source, count(*) AS n, round(avg(n_hits),6) AS mean, round(quantile_cont(n_hits,0.1),6) AS p10, round(quantile_cont(n_hits,0.5),6) AS p50, round(quantile_cont(n_hits,0.9),6) AS p90, round(max(n_hits)::DOUBLE,6) AS max FROM part GROUP BY source")
