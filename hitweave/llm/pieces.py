@@ -15,6 +15,7 @@ back as a space, all other texts come back as they were; repeated rows get equal
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,6 +42,7 @@ class Vocabulary:
     unknown: int
     prefix: bool = True
     _encoder: "Encoder | None" = field(default=None, repr=False, compare=False)
+    _spelled: "list[bytes] | None" = field(default=None, repr=False, compare=False)
 
     @staticmethod
     def load(path: str = MODEL) -> "Vocabulary":
@@ -53,7 +55,7 @@ class Vocabulary:
         return Vocabulary(pieces, [p.get_score(i) for i in range(n)], [i for i in range(n) if not special[i]], {int(pieces[i][3:5], 16): i for i in range(n) if p.is_byte(i)}, p.unk_id())
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_encoder"} | {"_encoder": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_encoder", "_spelled")} | {"_encoder": None, "_spelled": None}
 
     def encoder(self) -> "Encoder":
         if self._encoder is None:
@@ -62,10 +64,10 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids."""
-        byte = {i: b for b, i in self.bytes.items()}
-        out = bytearray()
-        for i in map(int, ids):
-            out += bytes([byte[i]]) if i in byte else (" ⁇ " if i == self.unknown else self.pieces[i]).encode()
+        if self._spelled is None:
+            byte = {i: b for b, i in self.bytes.items()}
+            self._spelled = [bytes([byte[i]]) if i in byte else (" ⁇ " if i == self.unknown else p).encode() for i, p in enumerate(self.pieces)]
+        out = b"".join(map(self._spelled.__getitem__, np.asarray(ids, np.int64).tolist()))
         text = out.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
@@ -132,32 +134,40 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.stretches.findall(self.marked(text))))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, batch_ids: int = 1_000_000) -> DataFrame:
-    """doc_id, n_pieces, ids of every row; results leave in batches of about `batch_ids` ids."""
+def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, batch_ids: int = 1_000_000, decoded: bool = False) -> DataFrame:
+    """doc_id, n_pieces, ids of every row; results leave in batches of about `batch_ids` ids.
+
+    With `decoded` the ids are decoded as well: the SHA-256 of the text that they give, and whether it is the text that went in.
+    """
     vocabulary = vocabulary or Vocabulary.load()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("decoded_sha256", pa.string()), ("same", pa.bool_())] * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary.encoder()
 
-        def packed(keys: list, parts: list[bytes]) -> pa.RecordBatch:
+        def packed(keys: list, parts: list[bytes], back: list[tuple[str, bool]]) -> pa.RecordBatch:
             sizes = np.array([len(p) // 4 for p in parts], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32), pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), ids], schema=schema)
+            columns = [pa.array([b[0] for b in back], pa.string()), pa.array([b[1] for b in back], pa.bool_())] if decoded else []
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), ids, *columns], schema=schema)
 
         for batch in batches:
-            keys, parts, held = [], [], 0
-            for key, text in zip(batch.column(0), batch.column(1)):
+            keys, parts, back, held = [], [], [], 0
+            for key, given in zip(batch.column(0), batch.column(1)):
+                text = given.as_py() or ""
                 keys.append(key.as_py())
-                parts.append(encoder.ids(text.as_py() or ""))
+                parts.append(encoder.ids(text))
+                if decoded:
+                    got = vocabulary.decode(np.frombuffer(parts[-1], np.int32))
+                    back.append((hashlib.sha256(got.encode("utf-8", "replace")).hexdigest(), got == text))
                 held += len(parts[-1]) // 4
                 if held >= batch_ids:
-                    yield packed(keys, parts)
-                    keys, parts, held = [], [], 0
-            yield packed(keys, parts)
+                    yield packed(keys, parts, back)
+                    keys, parts, back, held = [], [], [], 0
+            yield packed(keys, parts, back)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>" + ", decoded_sha256 string, same boolean" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"))
+    return pieces.encode(table(spark, sf_dir, "documents"), decoded=True)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

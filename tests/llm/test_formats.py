@@ -215,6 +215,18 @@ def test_piece_cases(spark, messy, none):
     assert pieces.encode(none).count() == 0
 
 
+def test_query_decodes_every_text(spark, sf, messy):
+    from hitweave.llm import queries
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op8_sentencepiece(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["same"] == ("▁" not in texts[r["doc_id"]]) and r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].replace("▁", " ").encode()).hexdigest()
+    odd = spark.createDataFrame([(0, "a▁b"), (1, None), (None, " x")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["same"], r["decoded_sha256"]) for r in pieces.encode(odd, batch_ids=1, decoded=True).collect()} == {0: (False, hashlib.sha256(b"a b").hexdigest()), 1: (True, hashlib.sha256(b"").hexdigest()), None: (True, hashlib.sha256(b" x").hexdigest())}
+
+
 # ---- registration and pipeline
 
 
