@@ -9,7 +9,7 @@ word count in edit distance (insertions, deletions, substitutions of words).
    random bit of (word, place); windows within a few edits of an item then agree with it in most places.
 3. LSH. Each repetition draws a new walk and compares a sample of places; a window that agrees with the item in all sampled
    places of any repetition is a candidate. The number of repetitions is set so that windows at the edit limit reach
-   `recall`, measured on edited copies of the block's own items.
+   `recall`, measured on edited copies of the block's own items; a warning says where the most repetitions stop short of it.
 4. Verification. The exact edit distance of the item to the best stretch of the document near its candidates decides.
 
 Items are taken in blocks of at most `block_chars` characters; each block is broadcast, and blocks are added as the benchmark
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -186,13 +187,18 @@ class Index:
                     regions.append([lo, hi])
             last = -1
             for lo, hi in regions:
-                lo = max(lo, last)
-                while hi - lo >= m - k:  # several leaks may lie in one region: each is cut off and the rest looked at again
+                # several leaks may lie in one region: the best is cut out, and what lies before and behind it is looked at again
+                open_, spans = [(max(lo, last), hi)], []
+                while open_:
+                    lo, hi = open_.pop()
+                    if hi - lo < m - k:
+                        continue
                     cost, a, b = best_stretch(self.items[i], docs[d][lo:hi])
-                    if cost > k:
-                        break
-                    out[d].append((self.ids[i], lo + a, lo + b, cost, m))
-                    last = lo = lo + b
+                    if cost <= k:
+                        spans.append((lo + a, lo + b, cost))
+                        open_ += [(lo, lo + a), (lo + b, hi)]
+                out[d] += [(self.ids[i], a, b, cost, m) for a, b, cost in sorted(spans)]
+                last = max([last, *(b for _, b, _ in spans)])
         return out
 
 
@@ -235,6 +241,7 @@ def _repetitions(items: list[np.ndarray], limits: list[int], recall: float, samp
         miss = (1 - chance) ** reps
         if 1 - miss.mean() >= recall:
             return reps
+    warnings.warn(f"{most} repetitions reach a recall of {1 - miss.mean():.4f} a window at the edit limit, short of {recall}", stacklevel=2)
     return most
 
 

@@ -135,3 +135,13 @@ def test_keep_first_tells_rows_apart_by_text(spark):
     kept = jc.keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), (r["text"] or "")[:1]) for r in kept)
     assert got == [(-1, ""), (-1, "a"), (-1, "d"), (-1, "d"), (1, "a"), (1, "b"), (2, "c"), (4, ""), (4, " "), (5, "d")]
+
+
+def test_edited_copy_before_an_exact_one(spark):
+    item = [f"w{i}" for i in range(20)]
+    edited = item[:5] + ["x"] + item[6:12] + ["y"] + item[13:]
+    docs = [(0, " ".join(edited + item)), (1, " ".join(["a", "b"] + edited + ["c"] + item + edited))]
+    got = dc.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["distance"]) for r in got) == [(0, 0), (0, 2), (1, 0), (1, 2), (1, 2)]
+    with pytest.warns(UserWarning, match="short of 0.995"):
+        dc.Index.build([(0, " ".join(f"w{i}" for i in range(500)))], 0.2, 0.995, most=1)
