@@ -21,6 +21,17 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Offsets in the text itself of the words that `words` gives, also where lower-casing changes the text's length."""
+    low = text.lower()
+    if len(low) == len(text):
+        return [m.span() for m in WORD.finditer(low)]
+    origin = [k for k, c in enumerate(text) for _ in c.lower()]
+    if len(origin) != len(low):  # a letter whose lower case depends on its neighbours keeps its length; anything else would be new
+        raise ValueError("lower-casing the text differs from lower-casing its characters")
+    return [(origin[m.start()], origin[m.end() - 1] + 1) for m in WORD.finditer(low)]
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -69,3 +80,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .collect()
     )
     return sorted((r["doc_id"], r["text"], r["y"]) for r in rows), counts
+
+
+class KeyFilter:
+    """A bitmap of the hashed keys of a table: rows of another table whose bit is not set surely have no such key.
+
+    The bitmap has 16 to 32 bits a key and at most `most_bits` (32 MB), so its broadcast is bounded at every size; rows that pass it
+    are still to be joined. It spares a shuffle of whole texts where few of them are wanted; with more keys than bits it merely
+    lets more rows pass.
+    """
+
+    def __init__(self, keys: DataFrame, by: list[str], most_bits: int = 1 << 28):
+        self.by = by
+        n = keys.count()
+        self.bits = max(1 << 15, min(most_bits, 1 << (16 * n).bit_length()))
+        place = self._place(keys)
+        self.maps = keys.select(F.shiftright(place, 15).alias("_slot"), place.bitwiseAND(32767).alias("_bit")).groupBy("_slot").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+
+    def _place(self, df: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(*(df[c] for c in self.by)), F.lit(self.bits))
+
+    def _marked(self, df: DataFrame) -> DataFrame:
+        keyed = df.withColumn("_place", self._place(df)).withColumn("_slot", F.shiftright("_place", 15))
+        return keyed.join(F.broadcast(self.maps), "_slot", "left").withColumn(
+            "_maybe", F.coalesce(F.expr("((conv(hex(substring(_map, 1 + cast(_place % 32768 div 8 as int), 1)), 16, 10) >> cast(_place % 8 as int)) & 1) = 1"), F.lit(False))
+        )
+
+    def maybe(self, df: DataFrame) -> DataFrame:
+        """Rows that may have one of the keys."""
+        return self._marked(df).where("_maybe").select(*df.columns)
+
+    def surely_not(self, df: DataFrame) -> DataFrame:
+        """Rows that have none of the keys."""
+        return self._marked(df).where("not _maybe").select(*df.columns)

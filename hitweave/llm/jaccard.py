@@ -3,13 +3,14 @@
 A text is the set of its five-word shingles (lower-case words; a text of one to four words has one shingle of all of them).
 Texts with equal sets are one class and are looked at once. The steps:
 
-1. Every text gives the digest of its set and the keys of its MinHash bands; copies fold into classes by a pre-aggregated count.
-2. Classes that share a band key are linked to the least class of that key (a star, not pairs), and the components of these
-   links are the candidate groups: every pair that shares a band lies within one.
-3. Groups are compared in blocks of at most `block` classes, a group of g classes as about (g / block)² / 2 tasks, so that no
-   task holds an unbounded group. For each pair MinHash values are compared a few at a time; the pair is dropped once the
-   posterior probability that its similarity reaches the threshold falls below `tolerance`. All others are verified on
-   their whole sets. Tasks return one row a class (its links, and the least class it hangs together with), never pairs.
+1. Every text gives the digest of its set and its MinHash values; copies fold into classes by a pre-aggregated count.
+2. Classes that share a band key are compared within that key, on their MinHash values alone. A pair belongs to the first band
+   that it shares, so no pair is looked at twice, and nothing is chained through pairs that aren't alike. A key of many classes is
+   cut into parts of at most about `block` classes and `block_chars` characters, and compared part by part. Values are
+   compared a few at a time; a pair is dropped once the posterior probability that its similarity reaches the threshold falls
+   below `tolerance`. A task puts out the classes that have a pair left, never pairs.
+3. Only texts of these classes are fetched (a bitmap of their keys spares all others the shuffle), and the pairs that were left are
+   verified on their whole sets. A task returns one row a class: its links, and the least class it hangs together with.
 4. Components of the verified links are the classes of near copies.
 
 With 24 bands of 4 values a pair at the threshold of 0.8 shares none with probability 3e-6; pruning loses a pair at the threshold
@@ -17,8 +18,8 @@ with probability below `tolerance`.
 
 Result: doc_id, class_id (least doc_id that hangs together with it), n_links (other documents whose similarity to it is at least
 the threshold). Defined cases: null texts count as empty; texts without words link to nothing (class_id is their doc_id);
-repeated rows link to each other; rows with a null doc_id take part and have the class_id of their group; extra columns are
-not read.
+repeated rows link to each other; rows with a null doc_id take part in links and have the class_id of their group (null where
+no row of the group has a doc_id); extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import arrow_map, materialise, words
+from hitweave.llm.common import KeyFilter, arrow_map, materialise, words
 from hitweave.operators.components import components
 
 SHINGLE, VALUES, ROWS = 5, 96, 4
+NO_ID = -(2**63)  # stands for a null doc_id where rows are fetched
 _ODD = np.random.default_rng(42).integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -66,10 +68,6 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(sig: np.ndarray) -> list[int]:
-    return [int(np.uint64(xxhash.xxh3_64_intdigest(sig[k : k + ROWS].tobytes(), k)).astype(np.int64)) for k in range(0, VALUES, ROWS)]
-
-
 def least_matches(seen: int, threshold: float, tolerance: float) -> int:
     """Fewest equal values among `seen` for which P(similarity >= threshold) is at least `tolerance`, from a uniform prior.
 
@@ -123,13 +121,8 @@ def overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return out[place[:, 0], place[:, 1]].round().astype(np.int64)
 
 
-def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool, threshold: float, tolerance: float) -> np.ndarray:
-    """Verified pairs (positions in `sets`) between the two sides, or within one side where `same`."""
-    sig = np.array([signature(s) for s in sets]).reshape(-1, VALUES)
-    pairs = survivors(sig[left], sig[right], threshold, tolerance)
-    pairs = np.stack([left[pairs[:, 0]], right[pairs[:, 1]]], 1)
-    if same:
-        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+def verified_pairs(sets: list[np.ndarray], pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """The pairs whose sets have at least the threshold's similarity."""
     if not len(pairs):
         return pairs
     size = np.array([len(s) for s in sets])
@@ -163,55 +156,89 @@ def text_digest() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 400) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 400, block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, class_id, n_links of every row of docs."""
-    return classed(spark, docs, threshold, tolerance, block).select("doc_id", "class_id", "n_links")
-
-
-def classed(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 400) -> DataFrame:
+    return classed(spark, docs, threshold, tolerance, block, block_chars).select("doc_id", "class_id", "n_links")
+
+
+def band_survivors(sig: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, band: int, threshold: float, tolerance: float) -> np.ndarray:
+    """Pairs (positions) between the two sides that pruning leaves and that share no band before `band`."""
+    found = []
+    for lo in range(0, len(left), 512):
+        part = left[lo : lo + 512]
+        p = survivors(sig[part], sig[right], threshold, tolerance)
+        p = np.stack([part[p[:, 0]], right[p[:, 1]]], 1)
+        if same:
+            p = p[p[:, 0] < p[:, 1]]
+        for b in range(band):
+            if not len(p):
+                break
+            p = p[(sig[p[:, 0], b * ROWS : (b + 1) * ROWS] != sig[p[:, 1], b * ROWS : (b + 1) * ROWS]).any(1)]
+        found.append(p)
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _task(pdf: pd.DataFrame, band: int, threshold: float, tolerance: float) -> np.ndarray:
+    """Pairs of rows of a task (band, key, p, q) that are left; the rows have `sig` and `part`."""
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, VALUES)
+    p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+    sides = [np.flatnonzero(pdf["part"].to_numpy() == x) for x in (p, q)]
+    return band_survivors(sig, sides[0], sides[1], p == q, band, threshold, tolerance)
+
+
+def classed(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 400, block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, text_digest, component (null for a text without words), class_id, n_links of every row of docs."""
 
     def prepare(ids: list, texts: list, digests: list) -> dict:
-        nodes, bands = [], []
+        nodes, sigs, sizes = [], [], []
         for t in texts:
             s = shingles(t or "")
             nodes.append(set_digest(s) if len(s) else None)
-            bands.append(band_keys(signature(s)) if len(s) else [])
-        return {"doc_id": ids, "text_digest": digests, "node": nodes, "bands": bands}
-
-    prepared = materialise(spark, arrow_map(docs.select("doc_id", "text", text_digest().alias("text_digest")), prepare, "doc_id long, text_digest long, node long, bands array<long>", "doc_id", "text", "text_digest"), "shingled")
-    classes = materialise(spark, prepared.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("bands").alias("bands")), "classes")
-    keys = classes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
-    groups = components(spark, keys.join(shared, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    members = (
-        groups.join(sizes, "component").join(classes.select("node", "first_id", "copies"), "node").where("first_id is not null")
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+            sigs.append(signature(s).tobytes() if len(s) else None)
+            sizes.append(len(t or ""))
+        return {"doc_id": ids, "text_digest": digests, "node": nodes, "sig": sigs, "size": sizes}
+
+    prepared = materialise(spark, arrow_map(docs.select("doc_id", "text", text_digest().alias("text_digest")), prepare, "doc_id long, text_digest long, node long, sig binary, size long", "doc_id", "text", "text_digest"), "shingled")
+    row = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_digest").alias("digest"), F.col("size").alias("size"), F.col("sig").alias("sig"))
+    classes = materialise(
+        spark,
+        prepared.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min(row).alias("r"))
+        .select("node", "first_id", "copies", F.col("r.id").alias("row_id"), F.col("r.digest").alias("row_digest"), F.col("r.size").alias("size"), F.col("r.sig").alias("sig")),
+        "classes",
     )
-    texts = docs.select(F.col("doc_id").alias("first_id"), "text").join(members, "first_id")
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "component", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "copies", "text"
-    )
+    bands = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(VALUES // ROWS)))
+    keys = classes.select("node", "size", F.posexplode(bands).alias("band", "key"))
+    groups = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).where("n > 1")
+    shared = groups.select("band", "key", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("chars") / block_chars)).cast("int").alias("parts"))
+    members = keys.join(shared, ["band", "key"]).select("band", "key", "parts", "node", F.pmod(F.xxhash64("node", "band"), F.col("parts")).cast("int").alias("part"))
+    dealt = (
+        members.join(classes.select("node", "sig"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("band", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "sig")
+    )
+
+    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
+        used = np.unique(_task(pdf, int(pdf["band"].iloc[0]), threshold, tolerance))
+        return pdf.iloc[used][["band", "key", "p", "q", "part", "node"]]
+
+    task = ["band", "key", "p", "q"]
+    left = materialise(spark, dealt.groupBy(*task).applyInPandas(prune, "band int, key long, p int, q int, part int, node long"), "candidates")
+    wanted = classes.join(left.select("node").distinct(), "node", "left_semi").select("node", "row_id", "row_digest", "copies", "sig")
+    # of several rows with one id and text any will do; copies fold on the map side
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("row_id"), text_digest().alias("row_digest"), "text")
+    texts = KeyFilter(wanted, ["row_id", "row_digest"]).maybe(rows).groupBy("row_id", "row_digest").agg(F.first("text").alias("text")).join(wanted, ["row_id", "row_digest"]).drop("row_id", "row_digest")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, seen = [], set()
-        for r in pdf.itertuples():
-            s = shingles(r.text or "")
-            if r.node not in seen and len(s) and set_digest(s) == r.node:  # a doc_id that is repeated with another text comes along
-                seen.add(r.node)
-                rows.append((r.node, r.copies, r.part, s))
-        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        sides = [np.array([k for k, r in enumerate(rows) if r[2] == x], int) for x in (p, q)]
-        found = links([r[3] for r in rows], sides[0], sides[1], p == q, threshold, tolerance)
+        pairs = _task(pdf, int(pdf["band"].iloc[0]), threshold, tolerance)
+        nodes, copies = pdf["node"].tolist(), pdf["copies"].tolist()
+        found = verified_pairs([shingles(t or "") for t in pdf["text"]], pairs, threshold)
         count: dict[int, int] = {}
         for i, j in found.tolist():
-            count[i] = count.get(i, 0) + rows[j][1]
-            count[j] = count.get(j, 0) + rows[i][1]
-        low = _lowest([r[0] for r in rows], found)
-        return pd.DataFrame({"node": [rows[k][0] for k in count], "linked": list(count.values()), "low": [low[k] for k in count]}, columns=["node", "linked", "low"]).astype("int64")
+            count[i] = count.get(i, 0) + copies[j]
+            count[j] = count.get(j, 0) + copies[i]
+        low = _lowest(nodes, found)
+        return pd.DataFrame({"node": [nodes[k] for k in count], "linked": list(count.values()), "low": [low[k] for k in count]}, columns=["node", "linked", "low"]).astype("int64")
 
-    verified = materialise(spark, dealt.groupBy("component", "p", "q").applyInPandas(compare, "node long, linked long, low long"), "verified")
+    verified = materialise(spark, left.join(texts, "node").groupBy(*task).applyInPandas(compare, "node long, linked long, low long"), "verified")
     near = components(spark, verified.select(F.col("node").alias("a"), F.col("low").alias("b")))
     whole = classes.select("node", "first_id", "copies").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = whole.groupBy("component").agg(F.min("first_id").alias("class_id"))
@@ -226,7 +253,8 @@ def keep_first(spark: SparkSession, docs: DataFrame, threshold: float = 0.8) ->
     """The rows of docs, all columns, without those whose group of near copies has a lesser doc_id; a repeated row stays once.
 
     Rows are told apart by doc_id and text: other texts under the same doc_id are judged by themselves, and of the rows of one
-    doc_id whose texts are near copies one stays. Rows without doc_id have no lesser one, and all of them stay.
+    doc_id whose texts are near copies one stays. Rows without doc_id have no lesser one, and all of them stay. Rows that surely
+    don't leave pass by a bitmap, without a shuffle.
     """
     found = materialise(spark, classed(spark, docs, threshold), "near")
     known = found.where("doc_id is not null")
@@ -234,10 +262,13 @@ def keep_first(spark: SparkSession, docs: DataFrame, threshold: float = 0.8) ->
     first = F.min("text_digest").over(Window.partitionBy("doc_id", "component"))
     other = known.where("doc_id = class_id and component is not null").withColumn("first", first).where("text_digest <> first")
     removed = known.where("doc_id <> class_id").select("doc_id", "text_digest").unionByName(other.select("doc_id", "text_digest")).distinct()
-    repeated = not known.groupBy("doc_id", "text_digest").count().where("count > 1").isEmpty()
-    # the removed keys grow with the corpus: the same join at every size, rather than a broadcast while they happen to be few
-    keyed = docs.withColumn("_digest", text_digest())
-    kept = keyed.join(removed.select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_removed")).hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_removed")), "left_anti")
-    if repeated:
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "_digest"]))
-    return kept.select(*docs.columns)
+    repeated = known.groupBy("doc_id", "text_digest").count().where("count > 1").select("doc_id", "text_digest")
+    touched = materialise(spark, removed.withColumn("gone", F.lit(True)).unionByName(repeated.join(removed, ["doc_id", "text_digest"], "left_anti").withColumn("gone", F.lit(False))), "touched")
+    key = ["_id", "_digest"]
+    touched = touched.withColumnsRenamed({"doc_id": "_id", "text_digest": "_digest"})
+    keyed = docs.withColumns({"_id": F.col("doc_id"), "_digest": text_digest()})
+    which = KeyFilter(touched, key)
+    some = which.maybe(keyed).join(touched.hint("merge"), key, "left").where("gone is null or not gone")
+    stay = some.where("gone is null").select(*docs.columns)
+    once = some.where("gone is not null").dropDuplicates(key).select(*docs.columns)
+    return which.surely_not(keyed).select(*docs.columns).unionByName(stay).unionByName(once)

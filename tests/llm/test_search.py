@@ -137,6 +137,27 @@ def test_keep_first_tells_rows_apart_by_text(spark):
     assert got == [(-1, ""), (-1, "a"), (-1, "d"), (-1, "d"), (1, "a"), (1, "b"), (2, "c"), (4, ""), (4, " "), (5, "d")]
 
 
+def test_rows_without_doc_id_have_links(spark):
+    a = [f"w{i}" for i in range(100)]
+    near = a[:50] + ["x"] + a[51:]
+    rows = [(None, " ".join(near)), (5, " ".join(a)), (None, " ".join(f"u{i}" for i in range(90))), (None, " ".join([*(f"u{i}" for i in range(90)), "v"]))]
+    got = sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in jc.join(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("5", "5", 1), ("None", "5", 1), ("None", "None", 1), ("None", "None", 1)]
+
+
+def test_key_filter_passes_every_key(spark):
+    from hitweave.llm.common import KeyFilter
+
+    all_rows = spark.range(20_000).selectExpr("id AS a", "id % 7 AS b", "repeat('x', 10) AS text")
+    keys = all_rows.where("a % 50 = 3").select("a", "b")
+    for most in (1 << 28, 1 << 15):
+        f = KeyFilter(keys, ["a", "b"], most)
+        maybe = {r["a"] for r in f.maybe(all_rows).collect()}
+        assert {r["a"] for r in keys.collect()} <= maybe and len(maybe) < 2500
+        assert f.surely_not(all_rows).count() == 20_000 - len(maybe) and f.surely_not(all_rows).columns == all_rows.columns
+    assert KeyFilter(keys.limit(0), ["a", "b"]).maybe(all_rows).count() == 0
+
+
 def test_edited_copy_before_an_exact_one(spark):
     item = [f"w{i}" for i in range(20)]
     edited = item[:5] + ["x"] + item[6:12] + ["y"] + item[13:]
