@@ -6,13 +6,23 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hitweave.session import written
+from hitweave.session import removed, written
+
+
+def _with_least(edges: DataFrame, least: DataFrame, hub: int = 1000) -> DataFrame:
+    """Rows of edges(u, v) with the `m` of their u. Nodes with more than `hub` edges, of which there are at most two edges a
+    thousandth, are broadcast, so that no task gets a whole hub."""
+    hubs = least.where(F.col("n") > hub).select("u", F.col("m").alias("_hub"))
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    rest = marked.where("_hub is null").select("u", "v").join(least.select("u", "m"), "u")
+    return rest.unionByName(marked.where("_hub is not null").select("u", "v", F.col("_hub").alias("m")))
 
 
 def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of the undirected graph `edges(a, b)`; a component is named by its least node.
 
-    Alternating large-star and small-star contractions: only aggregations and equi-joins, a table a round, no collected data.
+    Alternating large-star and small-star contractions: only aggregations and equi-joins, a table a round, no collected data. The
+    table of a round is removed once the next one is written.
     """
     now = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = _state(now)
@@ -20,11 +30,12 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
         if not state[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lesser = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lesser, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lesser.select("u", F.col("m").alias("v")))
-        now = written(spark, small.distinct(), "edges")
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("v > u"), least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lesser = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, lesser).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lesser.select("u", F.col("m").alias("v")))
+        last, now = now, written(spark, small.distinct(), "edges")
+        removed(last)
         before, state = state, _state(now)
         if state == before:
             break
