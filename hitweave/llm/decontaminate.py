@@ -3,18 +3,22 @@
 Texts and items are sequences of lower-case words. A document leaks an item if some stretch of it is within `ratio` of the item's
 word count in edit distance (insertions, deletions, substitutions of words).
 
-1. Windows. k edits leave a run of ceil((m - k) / (k + 1)) item words intact, so a leak always shares such a run of words with the
-   item. Item-sized windows are laid where a run is found, at every shift that k edits allow; no leak is lost here.
+1. Windows. A window has the length of some item. k edits leave a run of ceil((m - k) / (k + 1)) item words intact (LONGEST_RUN at
+   most), so windows are laid where the text has a run of words that is a run of an item of that length, at every shift that k edits
+   allow. This bounds where a leak can start; no leak is lost by it, and it names no item.
 2. Embedding. The CGK random walk reads a window and copies its current word to each of 3m output places, moving on or not by a
    random bit of (word, place); windows within a few edits of an item then agree with it in most places.
-3. LSH. Each repetition draws a new walk and compares a sample of places; a window that agrees with the item in all sampled
-   places of any repetition is a candidate. The number of repetitions is set so that windows at the edit limit reach
-   `recall`, measured on edited copies of the block's own items; a warning says where the most repetitions stop short of it.
+3. LSH. Each repetition draws a new walk and a sample of places. Items are kept in a table by the words at these places; a window's
+   words at the same places are looked up there, and the items found are its candidates. The number of repetitions is set so
+   that windows at the edit limit reach `recall`, measured for each length class on edited copies of the block's own items; a
+   warning says where the most repetitions stop short of it.
 4. Verification. The exact edit distance of the item to the best stretch of the document near its candidates decides.
 
-Items are taken in blocks of at most `block_chars` characters; each block is broadcast, and blocks are added as the benchmark
-grows. Defined cases: items without words (null, empty) match nothing; an item of fewer than five words must be there
-word by word; equal items each give their rows; null texts count as empty; repeated documents each give their rows.
+Items are taken in blocks of at most `block_chars` characters (one longer item makes a block of its own). A block is sent to the
+tasks, and its results are written before the next one is read: neither driver nor tasks hold more than a block, and documents are
+read once a block. Defined cases: items without words (null, empty) match nothing; an item of fewer than five words must be there
+word by word; equal items each give their rows; null texts count as empty; repeated documents each give their rows; rows with a
+null doc_id are looked at and give rows with a null doc_id; extra columns are not read by `find` and kept by `remove`.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import itertools
 import math
 import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import WORD, words
+from hitweave.llm.common import materialise, word_spans, words
 
 LONGEST_RUN = 4
 SCHEMA = "doc_id long, item_id long, start long, `end` long, distance int, item_words int"
@@ -61,63 +65,68 @@ def embed(windows: np.ndarray, lengths: np.ndarray, steps: int, seed: int) -> np
 def best_stretch(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """Edit distance of the item to the nearest stretch of the region, with its bounds; among equals the one that ends first, then the longest."""
     n = len(region)
-    row, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
+    places = np.arange(n + 1)
+    row, start = np.zeros(n + 1, np.int64), places.copy()
     for i, w in enumerate(item, 1):
-        prev, pstart = row, start
-        row, start = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64)
-        row[0], start[0] = i, 0
-        swap = prev[:-1] + (region != w)
-        drop = prev[1:] + 1
-        take = np.minimum(swap, drop)
-        origin = np.where(swap <= drop, pstart[:-1], pstart[1:])
-        cur, cs = i, 0
-        tl, ol = take.tolist(), origin.tolist()
-        for j in range(n):
-            cur += 1
-            if tl[j] <= cur:
-                cur, cs = tl[j], ol[j]
-            row[j + 1], start[j + 1] = cur, cs
+        swap = row[:-1] + (region != w)
+        drop = row[1:] + 1
+        take = np.concatenate([[i], np.minimum(swap, drop)])
+        origin = np.concatenate([[0], np.where(swap <= drop, start[:-1], start[1:])])
+        # an insertion adds one to the place before: the least of take - place so far, plus the place
+        level = take - places
+        low = np.minimum.accumulate(level)
+        start = origin[np.maximum.accumulate(np.where(level == low, places, 0))]
+        row = low + places
     end = int(row.argmin())
     return int(row[end]), int(start[end]), end
 
 
 @dataclass
 class Index:
-    """Items of one block with their runs, embeddings parameters and repetitions."""
+    """Items of one block, the runs that say where windows are laid, and the LSH tables of each length."""
 
     ids: list
     items: list
     limits: list
     vocabulary: dict
     runs: dict
+    members: dict
     sample: int
-    repetitions: int
+    repetitions: dict
+    _tables: dict = field(default_factory=dict, repr=False)
 
     @staticmethod
-    def build(rows: list[tuple], ratio: float = 0.2, recall: float = 0.995, sample: int = 3, most: int = 64) -> "Index":
+    def build(rows: list[tuple], ratio: float = 0.2, recall: float = 0.995, sample: int = 3, most: int = 256) -> "Index":
         kept = [(i, w) for i, t in rows if (w := words(t or ""))]
         vocabulary: dict = {}
         items = [np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.uint32) for _, w in kept]
         limits = [int(ratio * len(x)) for x in items]
-        runs: dict = {}
-        for n, (x, k) in enumerate(zip(items, limits)):
+        members: dict = {}
+        for n, x in enumerate(items):
+            members.setdefault(len(x), []).append(n)
+        found: dict = {}
+        for x, k in zip(items, limits):
             size = intact_run(len(x), k)
             for at, h in enumerate(_grams(x, size).tolist()):
-                runs.setdefault(size, {}).setdefault(h, []).append((n, at))
-        tables = {}
-        for size, found in runs.items():
-            keys = np.array(sorted(found), np.uint64)
-            tables[size] = (keys, [found[int(h)] for h in keys])
-        return Index([i for i, _ in kept], items, limits, vocabulary, tables, sample, _repetitions(items, limits, recall, sample, most))
+                found.setdefault(size, {}).setdefault(h, set()).add((len(x), at, k))
+        runs = {}
+        for size, by in found.items():
+            keys = np.array(sorted(by), np.uint64)
+            laid = [sorted(by[int(h)]) for h in keys]
+            runs[size] = (keys, np.cumsum([0] + [len(p) for p in laid]), np.array([q for p in laid for q in p], np.int64).reshape(-1, 3))
+        return Index([i for i, _ in kept], items, limits, vocabulary, runs, members, sample, _repetitions(items, limits, recall, sample, most))
+
+    def __getstate__(self):
+        return {**self.__dict__, "_tables": {}}
 
     def encode(self, w: list[str]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, w, itertools.repeat(0)), np.uint32, len(w))
 
-    def windows(self, doc: np.ndarray) -> set[tuple[int, int]]:
-        """(item, first word) of every item-sized window laid where the document shares a run with an item."""
-        out: set[tuple[int, int]] = set()
+    def windows(self, doc: np.ndarray) -> dict[int, np.ndarray]:
+        """First words of the windows to look at, by window length: those that a run shared with an item of that length allows."""
+        spans: list[np.ndarray] = []
         known = doc > 0
-        for size, (keys, places) in self.runs.items():
+        for size, (keys, firsts, laid) in self.runs.items():
             if len(doc) < size:
                 continue
             all_known = known[: len(doc) - size + 1].copy()
@@ -128,56 +137,74 @@ class Index:
                 continue
             h = _hash([doc[at + s] for s in range(size)])
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for p, i in zip(at[keys[k] == h].tolist(), k[keys[k] == h].tolist()):
-                for item, offset in places[i]:
-                    shift = self.limits[item]
-                    out.update((item, s) for s in range(p - offset - shift, p - offset + shift + 1))
+            same = keys[k] == h
+            at, k = at[same], k[same]
+            n = firsts[k + 1] - firsts[k]
+            which = np.repeat(firsts[k] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            length, offset, shift = laid[which].T
+            place = np.repeat(at, n) - offset
+            spans.append(np.stack([length, place - shift, place + shift + 1], 1))
+        if not spans:
+            return {}
+        every = np.concatenate(spans)
+        out = {}
+        for m in np.unique(every[:, 0]).tolist():
+            lo, hi = every[every[:, 0] == m, 1], every[every[:, 0] == m, 2]
+            last = max(1, len(doc) - int(0.5 * m))  # a window may run over the end of the text
+            depth = np.zeros(last + 1, np.int64)
+            np.add.at(depth, np.clip(lo, 0, last), 1)
+            np.add.at(depth, np.clip(hi, 1, last), -1)  # what would start before the text starts with it
+            out[m] = np.flatnonzero(np.cumsum(depth)[:last] > 0)
         return out
 
-    def candidates(self, docs: list[np.ndarray], found: list[tuple[int, int, int]]) -> np.ndarray:
-        """Which of the (doc, item, first word) windows agree with their item in all sampled places of a repetition."""
-        hit = np.zeros(len(found), bool)
-        for lo in range(0, len(found), 20_000):
-            hit[lo : lo + 20_000] = self._agree(docs, found[lo : lo + 20_000])
-        return hit
-
-    def _agree(self, docs: list[np.ndarray], found: list[tuple[int, int, int]]) -> np.ndarray:
-        used = sorted({i for _, i, _ in found})
-        place = {i: n for n, i in enumerate(used)}
-        item = np.array([place[i] for _, i, _ in found])
-        sizes = np.array([len(self.items[i]) for i in used])
-        width = int(sizes.max())
-        table = np.zeros((len(used), width), np.uint32)
-        for n, i in enumerate(used):
-            table[n, : sizes[n]] = self.items[i]
-        view, lengths = np.zeros((len(found), width), np.uint32), np.zeros(len(found), np.int64)
-        for n, (d, i, s) in enumerate(found):
-            part = docs[d][max(0, s) : max(0, s + len(self.items[i]))]
+    def _table(self, m: int) -> list[tuple]:
+        """For each repetition the sampled places, and the items of m words in the order of their words at these places."""
+        if m not in self._tables:
+            rows = np.array([self.items[n] for n in self.members[m]], np.uint32)
+            out = []
+            for rep in range(self.repetitions[m]):
+                places = (np.random.default_rng(1000 + rep).random(self.sample) * 3 * m).astype(np.int64)
+                keys = _mix(embed(rows, np.full(len(rows), m), int(places.max()) + 1, rep)[:, places])
+                order = np.argsort(keys, kind="stable")
+                out.append((places, keys[order], np.array(self.members[m])[order]))
+            self._tables[m] = out
+        return self._tables[m]
+
+    def candidates(self, docs: list[np.ndarray], found: dict[int, list[tuple[int, np.ndarray]]]) -> list[tuple[int, int, int]]:
+        """Sorted distinct (doc, item, first word) whose window has, in some repetition, the item's words at all sampled places."""
+        out: set[tuple[int, int, int]] = set()
+        for m, laid in found.items():
+            who = np.concatenate([np.full(len(s), d, np.int64) for d, s in laid])
+            start = np.concatenate([s for _, s in laid])
+            step = max(1, 1_000_000 // m)
+            for lo in range(0, len(start), step):
+                out |= self._look_up(m, docs, who[lo : lo + step], start[lo : lo + step])
+        return sorted(out)
+
+    def _look_up(self, m: int, docs: list[np.ndarray], who: np.ndarray, start: np.ndarray) -> set[tuple[int, int, int]]:
+        view, lengths = np.zeros((len(start), m), np.uint32), np.empty(len(start), np.int64)
+        for n, (d, s) in enumerate(zip(who.tolist(), start.tolist())):
+            part = docs[d][s : s + m]
             view[n, : len(part)], lengths[n] = part, len(part)
-        hit = np.zeros(len(found), bool)
-        for rep in range(self.repetitions):
-            left = np.flatnonzero(~hit)
-            if not len(left):
-                break
-            steps = 3 * width
-            theirs, ours = embed(table, sizes, steps, rep), embed(view[left], lengths[left], steps, rep)
-            rows = np.arange(len(left))
-            same = np.ones(len(left), bool)
-            for u in np.random.default_rng(1000 + rep).random(self.sample):
-                col = (u * 3 * sizes[item[left]]).astype(np.int64)
-                same &= theirs[item[left], col] == ours[rows, col]
-            hit[left[same]] = True
-        return hit
+        out: set[tuple[int, int, int]] = set()
+        for rep, (places, keys, members) in enumerate(self._table(m)):
+            mine = _mix(embed(view, lengths, int(places.max()) + 1, rep)[:, places])
+            first, last = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            for n in np.flatnonzero(last > first).tolist():
+                d, s = int(who[n]), int(start[n])
+                out.update((d, item, s) for item in members[first[n] : last[n]].tolist())
+        return out
 
     def leaks(self, texts: list[str]) -> list[list[tuple]]:
         """(item_id, first word, word after the last, distance, item words) of every leak in each text."""
-        docs, found = [], []
+        docs: list[np.ndarray] = []
+        found: dict[int, list[tuple[int, np.ndarray]]] = {}
         for d, t in enumerate(texts):
             docs.append(self.encode(words(t)))
-            found += [(d, i, s) for i, s in sorted(self.windows(docs[-1]))]
+            for m, starts in self.windows(docs[-1]).items():
+                found.setdefault(m, []).append((d, starts))
         out: list[list[tuple]] = [[] for _ in texts]
-        hit = self.candidates(docs, found)
-        for (d, i), group in itertools.groupby((f for f, h in zip(found, hit) if h), key=lambda f: f[:2]):
+        for (d, i), group in itertools.groupby(self.candidates(docs, found), key=lambda f: f[:2]):
             m, k, regions = len(self.items[i]), self.limits[i], []
             for _, _, s in group:
                 lo, hi = max(0, s - 2 * k), min(len(docs[d]), s + m + 2 * k)
@@ -214,35 +241,51 @@ def _grams(x: np.ndarray, size: int) -> np.ndarray:
     return _hash([x[s : len(x) - size + 1 + s] for s in range(size)])
 
 
-def _repetitions(items: list[np.ndarray], limits: list[int], recall: float, sample: int, most: int) -> int:
-    """Repetitions that find windows at the edit limit with probability `recall`, from edited copies of up to 200 items."""
-    r = np.random.default_rng(3)
-    pairs = []
-    for x, k in list(zip(items, limits))[:200]:
-        if k:
-            y = x.tolist()
-            for _ in range(k):
-                p, kind = int(r.integers(0, len(y))), int(r.integers(0, 3))
-                y[p : p + (kind > 0)] = [] if kind == 1 else [1_000_000 + int(r.integers(0, 10**6))]
-            pairs.append((x, np.array(y or [0], np.uint32)[: len(x)]))
-    if not pairs:
-        return 1
-    width = max(len(x) for x, _ in pairs)
-    stack = lambda rows: np.array([np.pad(x, (0, width - len(x))) for x in rows], np.uint32)
-    a, b = stack([x for x, _ in pairs]), stack([y for _, y in pairs])
-    la, lb = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
-    miss = np.zeros(len(pairs))
-    trials = 12
-    chance = np.zeros(len(pairs))
-    for t in range(trials):
-        same = embed(a, la, 3 * width, 500 + t) == embed(b, lb, 3 * width, 500 + t)
-        chance += np.array([same[n, : 3 * la[n]].mean() ** sample for n in range(len(pairs))]) / trials
-    for reps in range(1, most + 1):
-        miss = (1 - chance) ** reps
-        if 1 - miss.mean() >= recall:
-            return reps
-    warnings.warn(f"{most} repetitions reach a recall of {1 - miss.mean():.4f} a window at the edit limit, short of {recall}", stacklevel=2)
-    return most
+def _mix(words_at: np.ndarray) -> np.ndarray:
+    """One key of the words at the sampled places of each row."""
+    h = np.zeros(len(words_at), np.uint64)
+    for c in words_at.T:
+        h = (h ^ c.astype(np.uint64)) * _MIX[0]
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _edited(x: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
+    """x after k random edits with new words, cut to the length of x as a window would be."""
+    y = x.tolist()
+    for _ in range(k):
+        p, kind = int(r.integers(0, len(y))), int(r.integers(0, 3))
+        y[p : p + (kind > 0)] = [] if kind == 1 else [1_000_000 + int(r.integers(0, 10**6))]
+    return np.array(y or [0], np.uint32)[: len(x)]
+
+
+def _repetitions(items: list[np.ndarray], limits: list[int], recall: float, sample: int, most: int, tried: int = 40, trials: int = 12) -> dict[int, int]:
+    """For each item length, the repetitions that find windows at the edit limit with probability `recall`.
+
+    Lengths within a fifth of each other share a class; a class is measured on edited copies of `tried` of its items.
+    """
+    r, out = np.random.default_rng(3), {}
+    classes: dict[int, list[int]] = {}
+    for n, x in enumerate(items):
+        classes.setdefault(int(math.log(len(x)) / math.log(1.2)), []).append(n)
+    for members in classes.values():
+        pairs = [(items[n], _edited(items[n], limits[n], r)) for n in members[:tried] if limits[n]]
+        reps, reached = 1, 1.0
+        if pairs:
+            chance = np.zeros(len(pairs))
+            for n, (x, y) in enumerate(pairs):
+                rows, lengths = np.stack([x, np.pad(y, (0, len(x) - len(y)))]), np.array([len(x), len(y)])
+                for t in range(trials):
+                    a, b = embed(rows, lengths, 3 * len(x), 500 + t)
+                    chance[n] += (a == b).mean() ** sample / trials
+            for reps in range(1, most + 1):
+                reached = 1 - ((1 - chance) ** reps).mean()
+                if reached >= recall:
+                    break
+            else:
+                warnings.warn(f"{most} repetitions reach a recall of {reached:.4f} a window at the edit limit, short of {recall}", stacklevel=3)
+        out |= {len(items[n]): reps for n in members}
+    return out
 
 
 def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
@@ -257,11 +300,13 @@ def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
 
 def find(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, recall: float = 0.995, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, start, end (code points), distance, item_words of every leak."""
-    out = None
+    out, last = None, None
     for rows in blocks(benchmark, block_chars):
-        part = _find(docs, Index.build(rows, ratio, recall))
-        out = part if out is None else out.unionByName(part)
-    return out
+        if last is not None:  # more than one block: results are written, so that the plan holds one block at most
+            done = materialise(docs.sparkSession, last, "leaks")
+            out = done if out is None else out.unionByName(done)
+        last = _find(docs, Index.build(rows, ratio, recall))
+    return last if out is None else out.unionByName(last)
 
 
 def _find(docs: DataFrame, index: Index) -> DataFrame:
@@ -276,24 +321,20 @@ def _find(docs: DataFrame, index: Index) -> DataFrame:
             out = []
             for i, t, leaks in zip(ids, texts, index.leaks(texts)):
                 if leaks:
-                    spans = [m.span() for m in WORD.finditer(t.lower())] if len(t.lower()) == len(t) else _spans(t)
+                    spans = word_spans(t)
                     out += [(i, item, spans[a][0], spans[b - 1][1], cost, m) for item, a, b, cost, m in leaks]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def _spans(text: str) -> list[tuple[int, int]]:
-    """Word offsets in the text itself, where lower-casing changes its length."""
-    origin = [k for k, c in enumerate(text) for _ in c.lower()] + [len(text)]
-    return [(origin[m.start()], origin[m.end() - 1] + 1) for m in WORD.finditer(text.lower())]
-
-
 def remove(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, recall: float = 0.995, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs, all columns, that leak no item; texts are looked at where they lie, without a shuffle."""
-    out = docs
+    out, first = docs, True
     for rows in blocks(benchmark, block_chars):
-        out = out.where(_clean(Index.build(rows, ratio, recall))("text"))
+        if not first:
+            out = materialise(docs.sparkSession, out, "clean")
+        out, first = out.where(_clean(Index.build(rows, ratio, recall))("text")), False
     return out
 
 

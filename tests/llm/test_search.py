@@ -166,3 +166,45 @@ def test_edited_copy_before_an_exact_one(spark):
     assert sorted((r["doc_id"], r["distance"]) for r in got) == [(0, 0), (0, 2), (1, 0), (1, 2), (1, 2)]
     with pytest.warns(UserWarning, match="short of 0.995"):
         dc.Index.build([(0, " ".join(f"w{i}" for i in range(500)))], 0.2, 0.995, most=1)
+
+
+def test_windows_of_a_common_run_are_laid_once(spark):
+    """Items that begin alike share their windows, and a leak among them is found by the table of its length."""
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(800)]
+    items = [(i, " ".join(["which", "of", "the", "following", *r.choices(vocabulary, k=26)])) for i in range(300)]
+    text = " ".join(" ".join(["which", "of", "the", "following", *r.choices(vocabulary, k=15)]) for _ in range(10)) + " " + items[17][1]
+    index = dc.Index.build(items)
+    laid = index.windows(index.encode(words(text)))
+    assert list(laid) == [30] and len(laid[30]) <= len(words(text))
+    assert [(i, d) for i, _, _, d, _ in index.leaks([text])[0]] == [(17, 0)]
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """The registered query over whole small tables, nulls and repeats among them, against all stretches of all documents."""
+    from hitweave.llm import queries
+
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(r.choices(vocabulary, k=r.randint(3, 12)))) for i in range(12)] + [(50, None), (51, "")]
+    docs = []
+    for i in range(60):
+        w = r.choices(vocabulary, k=r.randint(0, 40))
+        if i % 3 == 0:
+            x = words(items[i % 12][1])
+            if i % 2:
+                x[r.randrange(len(x))] = "new"
+            w[5:5] = x
+        docs.append((i if i % 11 else None, " ".join(w) if i % 13 else None))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(g["doc_id"], g["item_id"], g["start"] is not None) for g in queries.op1_decontamination(spark, str(tmp_path)).collect()}
+    want = set()
+    for d, t in docs:
+        w = words(t or "")
+        for i, x in items:
+            x = words(x or "")
+            k = int(0.2 * len(x))
+            if x and any(edit(x, w[a : a + n]) <= k for n in range(max(1, len(x) - k), len(x) + k + 1) for a in range(max(0, len(w) - n) + 1)):
+                want.add((d, i, True))
+    assert got == want
