@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.llm import crf
-from hitweave.llm.common import WORD, arrow_map, fold, labelled_sample, words
+from hitweave.llm.common import arrow_map, fold, labelled_sample, word_spans, words
 
 #: Scores of token forms kept by a Python worker; when full, the store starts anew (it's only a memory of computed values).
 REMEMBERED = 200_000
@@ -140,15 +140,15 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars:
 
 
 def spans(text: str, p: np.ndarray) -> list[list[int]]:
-    """Offsets of the runs of tokens whose marginal is at least one half."""
+    """Offsets of the runs of tokens whose marginal is at least one half, in the text as it is (tokens are of its lower case)."""
     out: list[list[int]] = []
     last = -2
-    for k, m in enumerate(WORD.finditer(text)):
-        if k < len(p) and p[k] >= 0.5:
+    for k, ((a, b), v) in enumerate(zip(word_spans(text), p, strict=True)):
+        if v >= 0.5:
             if last == k - 1:
-                out[-1][1] = m.end()
+                out[-1][1] = b
             else:
-                out.append([m.start(), m.end()])
+                out.append([a, b])
             last = k
     return out
 

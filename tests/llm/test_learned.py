@@ -84,6 +84,9 @@ def test_toxic_spans_are_offsets_in_the_text():
     text = "you idiot moron are fine"
     p = np.array([0.1, 0.9, 0.8, 0.1, 0.2])
     assert [text[a:b] for a, b in toxicity.spans(text, p)] == ["idiot moron"]
+    grown = "İstanbul idiot İİ moron ΑΣ Σ"  # lower-casing these texts makes them longer, or depends on what stands around a letter
+    spans = toxicity.spans(grown, np.array([0.1, 0.1, 0.9, 0.1, 0.1, 0.9, 0.2, 0.2]))
+    assert [grown[a:b] for a, b in spans] == ["idiot", "moron"]
 
 
 # ---- personal data
