@@ -3,12 +3,17 @@
 Writing. Every page becomes an HTTP response record whose body is chunked; a payload that another page holds too is written once,
 by the page with the largest id, and the others become revisit records that refer to it. Blocks longer than a segment are cut:
 the first segment keeps the record's type, the rest are continuation records that name its id, their number, and (the last) the
-total length. Archives are gzipped files written by Spark's own text writer, whose line separator is the end of a record; it
-therefore works on any file system that Spark writes.
+total length. Pages whose payload surely no other page holds (a bitmap of the shared digests tells) are written where they lie; of
+shared payloads one copy a digest is shuffled, folded on the map side, and the pages that hold it come without theirs.
 
-Reading. Archives, gzipped or plain, are read whole (their size is bounded by `archive_records`), records are cut by Content-Length; continuation records
-are grouped by origin, ordered by segment number, checked against the total length, joined, and their chunked framing decoded. Only
-records of more than one segment are shuffled.
+Archives are files of one gzip member a record, as archive readers expect. Spark's own text writer writes them, so any file system
+that Spark writes will do: its line separator is the zero byte that ends each member (a member ends with the four-byte length of
+a record, and records are far smaller than 16 MB, since segments are).
+
+Reading. Archives, gzipped or plain, are read whole (their size is bounded by `archive_records`), records are cut by Content-Length;
+header names are of any case, lines without a colon are passed over, and bytes that are no record are put out as a record of type
+`unreadable`, after which reading goes on at the next one. Continuation records are grouped by origin, ordered by segment number,
+checked against the total length, joined, and their chunked framing decoded. Only records of more than one segment are shuffled.
 
 Defined cases: a null payload counts as empty and has the digest of no bytes; a null url is left out of the record and comes back
 null; pages of equal id and equal payload are each written (both response where theirs is the largest id); a null id never
@@ -22,15 +27,16 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import shared_path
+from hitweave.llm.common import KeyFilter, materialise, shared_path
 
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS = "record_id string, origin_id string, segment int, total_length long, record_type string, page_id long, url string, refers_to long, digest string, full_bytes long, block binary"
 
@@ -81,13 +87,13 @@ def _record(kind: str, block: bytes, **headers) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
-def page_records(key: str, page_id: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None, segment_bytes: int, chunk_bytes: int) -> list[bytes]:
+def page_records(key: str, page_id: int | None, url: str | None, payload: bytes | None, sha: str, size: int, refers_to: int | None, segment_bytes: int, chunk_bytes: int) -> list[bytes]:
     """The records of one page: a revisit, or a response with its continuations."""
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url is not None else None
     raw = {"X_Page_Url": base64.b64encode(url.encode()).decode() if url is not None and uri != url else None}
     common = {"WARC_Record_ID": f"<urn:page:{key}>", "WARC_Target_URI": uri, **raw, "X_Page_Id": page_id, "WARC_Payload_Digest": f"sha1:{sha}"}
     if refers_to is not None:
-        head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Archived-Length: %d\r\n\r\n" % len(payload)
+        head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Archived-Length: %d\r\n\r\n" % size
         return [_record("revisit", head, **common, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<urn:page-id:{refers_to}>")]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
     pieces = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
@@ -101,51 +107,112 @@ def page_records(key: str, page_id: int | None, url: str | None, payload: bytes,
 
 
 def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Pages with payload, digest and, for revisits, the page they refer to. Payloads stay where they are if no page shares them."""
-    base = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
-    keyed = base.select("digest", "page_id", F.length("payload").alias("size")).where(F.col("size") >= least_bytes)
-    shared = keyed.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first_id")
-    found = base.join(shared, "digest", "left")
-    return found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.length("payload") >= least_bytes), F.col("first_id")))
+    """page_id, url, payload (null for revisits), digest, size, refers_to of every page."""
+    spark = pages.sparkSession
+    base = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.length("payload").cast("long"))
+    counted = base.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies"))
+    shared = materialise(spark, counted.where("copies > 1").select("digest", "first_id"), "shared")
+    which = KeyFilter(shared, ["digest"])
+    alone = which.surely_not(base).withColumn("refers_to", F.lit(None).cast("long"))
+    some = which.maybe(base)
+    # one payload a digest, folded before the shuffle; the pages themselves come without it, so that a hot payload is moved once a task
+    bodies = some.groupBy("digest").agg(F.first("payload").alias("payload")).join(shared, "digest", "left")
+    revisit = ~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull()
+    dealt = some.select("page_id", "url", "digest", "size").join(bodies, "digest").withColumn("refers_to", F.when(revisit, F.col("first_id")))
+    columns = ["page_id", "url", "payload", "digest", "size", "refers_to"]
+    return alone.select(*columns).unionByName(dealt.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload"))).select(*columns))
+
+
+def member(record: bytes) -> bytes:
+    """A record as a gzip member without its last byte, which is zero."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packed = packer.compress(record) + packer.flush()
+    if len(record) >= 1 << 24:
+        raise ValueError("a record of 16 MB or more; take smaller segments")
+    return packed[:-1]
 
 
 def write(pages: DataFrame, path: str, segment_bytes: int = 8192, chunk_bytes: int = 4096, archive_records: int = 5000, least_bytes: int = 0) -> None:
-    """Write a record for every page as WARC files under `path`, at most about `archive_records` pages a file."""
+    """Write a record for every page as WARC files under `path`, at most `archive_records` records a file."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, page, url, payload, sha, refers in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                out += page_records(key, page, url, payload, sha, refers, segment_bytes, chunk_bytes)
-            for k in range(0, len(out), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(out[k : k + 1000], pa.binary())], ["record"])
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                out += [member(r + END) for r in page_records(*row, segment_bytes, chunk_bytes)]
+                if len(out) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                    out = []
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+
+    rows = plan(pages, least_bytes).select(F.monotonically_increasing_id().cast("string").alias("key"), "page_id", "url", "payload", "digest", "size", "refers_to")
+    rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", archive_records).text(path)
+
 
-    rows = plan(pages, least_bytes).select(F.monotonically_increasing_id().cast("string").alias("key"), "page_id", "url", "payload", "digest", "refers_to")
-    rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
+def _number(fields: dict, name: str) -> int | None:
+    found = re.fullmatch(r"\s*(-?\d{1,18})\s*", fields.get(name, ""))
+    return int(found[1]) if found else None
 
 
 def parse(content: bytes) -> Iterator[dict]:
-    """Records of an archive, cut by their Content-Length."""
-    at, n = 0, len(content)
+    """Records of an archive, cut by their Content-Length; bytes between them that are none come as records of type `unreadable`."""
+    at, n, lost = 0, len(content), None
+    none = dict.fromkeys(("record_id", "origin_id", "segment", "total_length", "page_id", "url", "refers_to", "digest", "full_bytes"))
     while at < n:
-        head = content.find(b"\r\n\r\n", at)
-        if head < 0 or not content.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        fields = dict(line.split(": ", 1) for line in content[at:head].decode().split("\r\n")[1:])
-        size = int(fields["Content-Length"])
+        head = content.find(b"\r\n\r\n", at) if content.startswith(b"WARC/", at) else -1
+        fields = {}
+        if head >= 0:
+            for line in content[at:head].decode("utf-8", "replace").split("\r\n")[1:]:
+                name, colon, value = line.partition(":")
+                if colon:
+                    fields[name.strip().lower()] = value.strip()
+        size, kind = _number(fields, "content-length"), fields.get("warc-type", "").lower()
+        if size is None or size < 0 or not kind or head + 4 + size > n:
+            lost = at if lost is None else lost
+            at = content.find(b"WARC/", at + 1)
+            at = n if at < 0 else at
+            continue
+        if lost is not None:
+            yield {**none, "record_type": "unreadable", "block": content[lost:at]}
+            lost = None
         block = content[head + 4 : head + 4 + size]
-        at = head + 4 + size + len(END)
-        url = fields.get("WARC-Target-URI")
-        if "X-Page-Url" in fields:
-            url = base64.b64decode(fields["X-Page-Url"]).decode()
-        length = re.search(rb"X-Archived-Length: (\d+)", block) if fields["WARC-Type"] == "revisit" else None
-        refers = re.search(r"-?\d+", fields.get("WARC-Refers-To", ""))
-        number = lambda k: int(fields[k]) if k in fields else None
+        at = head + 4 + size
+        if content.startswith(END, at):
+            at += len(END)
+        else:
+            while content[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+        url = fields.get("warc-target-uri")
+        if "x-page-url" in fields:
+            try:
+                url = base64.b64decode(fields["x-page-url"]).decode()
+            except ValueError:
+                pass
+        length = re.search(rb"X-Archived-Length: (\d{1,18})", block) if kind == "revisit" else None
+        refers = re.fullmatch(r"<urn:page-id:(-?\d{1,18})>", fields.get("warc-refers-to", ""))
         yield {
-            "record_id": fields["WARC-Record-ID"], "origin_id": fields.get("WARC-Segment-Origin-ID", fields["WARC-Record-ID"]), "segment": number("WARC-Segment-Number"), "total_length": number("WARC-Segment-Total-Length"),
-            "record_type": fields["WARC-Type"], "page_id": number("X-Page-Id"), "url": url, "refers_to": int(refers[0]) if refers else None, "digest": fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None,
-            "full_bytes": int(length[1]) if length else None, "block": block,
+            "record_id": fields.get("warc-record-id"), "origin_id": fields.get("warc-segment-origin-id", fields.get("warc-record-id")), "segment": _number(fields, "warc-segment-number"),
+            "total_length": _number(fields, "warc-segment-total-length"), "record_type": kind, "page_id": _number(fields, "x-page-id"), "url": url, "refers_to": int(refers[1]) if refers else None,
+            "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, "full_bytes": int(length[1]) if length else None, "block": block,
         }
+    if lost is not None:
+        yield {**none, "record_type": "unreadable", "block": content[lost:]}
+
+
+def unpacked(raw: bytes) -> bytes:
+    """The content of a gzipped archive; of one that is cut or broken, what comes before the break."""
+    try:
+        return gzip.decompress(raw)
+    except (EOFError, OSError, zlib.error):
+        out, rest = [], raw
+        while rest[:2] == b"\x1f\x8b":
+            opener = zlib.decompressobj(31)
+            try:
+                out.append(opener.decompress(rest))
+            except zlib.error:
+                break
+            rest = opener.unused_data
+        return b"".join(out)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -160,7 +227,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 held = []
                 raw = content.as_py()
-                for r in parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                for r in parse(unpacked(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     held.append(r)
                     if len(held) == 1000:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
@@ -196,7 +263,9 @@ def reassemble(records: DataFrame) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 row = {"page_id": r["page_id"], "url": r["url"], "record_type": r["record_type"], "refers_to": r["refers_to"], "payload": None, "payload_bytes": r["full_bytes"], "payload_digest": r["digest"], "problem": r["problem"]}
-                if r["record_type"] != "revisit" and not r["problem"]:
+                if r["record_type"] == "unreadable":
+                    row["problem"] = "no record"
+                elif r["record_type"] != "revisit" and not r["problem"]:
                     top, _, body = r["block"].partition(b"\r\n\r\n")
                     try:
                         payload = unchunked(body) if b"transfer-encoding: chunked" in top.lower() else body

@@ -1,5 +1,6 @@
 """Fingerprints, tool calls, archives, pieces, and the pipeline."""
 
+import gzip
 import hashlib
 import json
 from collections import Counter
@@ -155,6 +156,48 @@ def test_archives(spark):
     assert least[1] == "response" and least[5] == "revisit"
 
 
+def test_archives_are_members_of_records(spark, tmp_path):
+    """Each record is a gzip member of its own, and a reader that knows gzip alone gets them one after the other."""
+    import zlib
+
+    pages = spark.createDataFrame([(i, "u", f"<p>{i % 7}</p>" * i) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"{tmp_path}/w", segment_bytes=100, chunk_bytes=30)
+    n = 0
+    for f in tmp_path.glob("w/*.txt"):
+        raw = f.read_bytes()
+        while raw:
+            opener = zlib.decompressobj(31)
+            record = opener.decompress(raw)
+            assert opener.eof and record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+            raw, n = opener.unused_data, n + 1
+    assert n == warc.read_records(spark, f"{tmp_path}/w").count() > 30
+
+
+def test_a_payload_that_many_pages_hold(spark):
+    """A third of all rows with one payload, null ids and repeats among them."""
+    rows = [(i if i % 9 else None, f"u{i}", "same" if i % 3 == 0 else f"own {i}") for i in range(600)] + [(1, "u", "own 1"), (None, "a", "z"), (None, "b", "z")]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    want = Counter()
+    ids = {}
+    for i, _, t in rows:
+        ids.setdefault(t, []).append(i)
+    for i, _, t in rows:
+        first = max((x for x in ids[t] if x is not None), default=None)
+        want[i, warc.digest(t.encode()), "revisit" if first is not None and i != first else "response", first if first is not None and i != first else None] += 1
+    assert Counter((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want and all(r["problem"] is None for r in got)
+
+
+def test_foreign_and_broken_archives(spark, tmp_path):
+    good = b"WARC/1.0\r\nwarc-type: response\r\nno colon here\r\nCONTENT-LENGTH:5\r\nWARC-Record-ID: <a>\r\n\r\nhello\r\n\r\n"
+    for name, raw in {"a": good + b"rubbish" + good, "b": good + good[:60], "c": b"nothing at all", "d": b"WARC/1.0\r\nContent-Length: x\r\n\r\n" + good, "e": b"", "f": gzip.compress(good) + gzip.compress(good)[:30]}.items():
+        (tmp_path / f"{name}.warc").write_bytes(raw)
+    rows = warc.read_records(spark, str(tmp_path)).select("record_type", "block").collect()
+    assert Counter(r["record_type"] for r in rows) == {"response": 5, "unreadable": 5}
+    assert all(bytes(r["block"]) == b"hello" for r in rows if r["record_type"] == "response")
+    problems = Counter(r["problem"] for r in warc.reassemble(warc.read_records(spark, str(tmp_path))).collect())
+    assert problems == {None: 5, "no record": 5}
+
+
 def test_broken_segments(spark):
     schema = warc.RECORDS
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"hello world", 4)
