@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 300_000
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # a default: `Vocabulary.load` takes any path that driver and executors can read
+#: Characters of stretches that a worker remembers; a longer stretch is encoded anew each time.
+REMEMBERED, LONGEST = 4_000_000, 200
 UNKNOWN_PENALTY = 10.0
 
 
@@ -77,7 +78,7 @@ class Encoder(dict):
 
     def __init__(self, v: Vocabulary):
         super().__init__()
-        self.v = v
+        self.v, self.held = v, 0
         self.automaton = ahocorasick.Automaton()
         self.single: set[str] = set()
         longer: set[str] = set()
@@ -122,15 +123,19 @@ class Encoder(dict):
         return out[::-1]
 
     def __missing__(self, s: str) -> bytes:
-        got = self[s] = np.array(self.viterbi(s), np.int32).tobytes()
+        got = np.array(self.viterbi(s), np.int32).tobytes()
+        if len(s) <= LONGEST:
+            if self.held > REMEMBERED:
+                self.clear()
+                self.held = 0
+            self[s] = got
+            self.held += len(s)
         return got
 
     def marked(self, text: str) -> str:
         return (SPACE if self.v.prefix else "") + text.replace(" ", SPACE) if text else ""
 
     def ids(self, text: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
         return b"".join(map(self.__getitem__, self.stretches.findall(self.marked(text))))
 
 
