@@ -5,12 +5,17 @@ link text. The field labels each block as main text or not from ancestor and tex
 labelling of the page. It is trained here on pages made by rule, whose labels are known.
 
 Within a block character references are decoded and white space becomes one space; blocks are joined by one line break. A
-line-break tag ends a block. Defined cases: a null or empty page, or one without main text, gives an empty text; unclosed tags and
-pages cut short are read as far as they go; repeated rows get equal results; other columns are not read.
+line-break tag ends a block; scripts, styles and embedded objects are left out without ending one, and formulas are text. Reading
+takes time and memory in proportion to the page, however its tags are nested.
+
+Defined cases: a null or empty page, or one without main text, gives an empty text; unclosed tags and pages cut short are read as
+far as they go: a start tag whose content is never text, and which isn't closed on the page, is passed over (of scripts and styles
+the rest of the page is content); repeated rows get equal results; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import random
 import re
@@ -25,11 +30,14 @@ from hitweave.llm.common import arrow_map
 
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A slash that ends a tag, and isn't part of an attribute's unquoted value.
+SELF_CLOSED = re.compile(r"(?:^|[\s\"']|^[^=]*)/$|[\s\"'][^\s=\"']*/$")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt s samp small span strike strong sub sup time tt u var wbr math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mspace mstyle semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-UNSEEN = frozenset("script style template noscript iframe svg math object canvas audio video head title textarea select".split())
+#: Elements whose content is never text of the page; the first ones are raw text, and go on to the page's end if they aren't closed.
+RAW = frozenset("script style".split())
+UNSEEN = RAW | frozenset("template noscript iframe svg object canvas audio video head title textarea select annotation annotation-xml".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol table dl select".split())
 CUES = frozenset("cookie cookies consent subscribe newsletter login register share comment comments reply copyright rights reserved privacy terms advertisement sponsored menu home search related".split())
@@ -37,8 +45,11 @@ CUES = frozenset("cookie cookies consent subscribe newsletter login register sha
 
 @dataclass
 class Block:
+    """A leaf block: its text, its innermost block tag, the distinct tags and names around it, and the share of link text."""
+
     text: str
-    tags: tuple[str, ...]
+    own: str
+    tags: frozenset
     names: frozenset
     links: float
 
@@ -49,19 +60,91 @@ def _names(attributes: str) -> frozenset:
     return frozenset(p.lower() for m in ATTRIBUTE.finditer(attributes) for p in NAME_PART.findall(m[1] or m[2] or m[3] or ""))
 
 
-def leaf_blocks(page: str) -> list[Block]:
+class _Open:
+    """The open elements, with what blocks and closing rules ask of them kept up to date, so that no question scans the stack.
+
+    Of class and id words only those in `known` (if given) are kept: a page can have any number of others. `ANY` stands for these.
+    """
+
+    ANY = "*"
+
+    def __init__(self, known: frozenset | None):
+        self.known = known
+        self.stack: list[tuple[str, frozenset]] = []
+        self.where: dict[str, list[int]] = {}
+        self.names: dict[str, int] = {}
+        self.blocks: list[int] = []
+        self.lists: list[int] = []
+        self._around: tuple[str, frozenset, frozenset] | None = None
+
+    def push(self, tag: str, names: frozenset) -> None:
+        if names and self.known is not None:
+            names = (names & self.known) or frozenset((self.ANY,))
+        place = len(self.stack)
+        self.stack.append((tag, names))
+        self.where.setdefault(tag, []).append(place)
+        for x in names:
+            self.names[x] = self.names.get(x, 0) + 1
+        if tag not in INLINE:
+            self.blocks.append(place)
+        if tag in LISTS:
+            self.lists.append(place)
+        self._around = None
+
+    def cut(self, place: int) -> None:
+        """Close the element at `place` and all above it."""
+        while len(self.stack) > place:
+            tag, names = self.stack.pop()
+            self.where[tag].pop()
+            if not self.where[tag]:
+                del self.where[tag]
+            for x in names:
+                self.names[x] -= 1
+                if not self.names[x]:
+                    del self.names[x]
+            if tag not in INLINE:
+                self.blocks.pop()
+            if tag in LISTS:
+                self.lists.pop()
+        self._around = None
+
+    def close(self, tag: str) -> None:
+        """An end tag: an inline one reaches no further than the innermost block."""
+        if tag in self.where:
+            place = self.where[tag][-1]
+            if tag not in INLINE or not self.blocks or self.blocks[-1] < place:
+                self.cut(place)
+
+    def make_room(self, tag: str) -> None:
+        """What the start tag of a block closes: an open paragraph, and items or cells of the same list."""
+        if "p" in self.where:
+            self.cut(self.where["p"][-1])
+        least = self.lists[-1] if self.lists else -1
+        open_ = [w[bisect.bisect(w, least)] for t in CLOSES.get(tag, ()) if (w := self.where.get(t)) and w[-1] > least]
+        if open_:
+            self.cut(min(open_))
+
+    def around(self) -> tuple[str, frozenset, frozenset]:
+        if self._around is None:
+            own = self.stack[self.blocks[-1]][0] if self.blocks else "none"
+            self._around = own, frozenset(t for t in self.where if t not in INLINE), frozenset(self.names)
+        return self._around
+
+
+def leaf_blocks(page: str, known: frozenset | None = None) -> list[Block]:
     """Leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    here = _Open(known)
     buffer: list[str] = []
     linked = total = 0
     at, n = 0, len(page)
+    never: set[str] = set()  # tags that aren't closed, and marks that aren't there, from here to the end of the page
 
     def flush() -> None:
         nonlocal linked, total
         text = " ".join("".join(buffer).split())
         if text:
-            out.append(Block(text, tuple(t for t, _ in stack if t not in INLINE), frozenset().union(*(x for _, x in stack)), linked / max(1, total)))
+            out.append(Block(text, *here.around(), linked / max(1, total)))
         buffer.clear()
         linked = total = 0
 
@@ -71,7 +154,15 @@ def leaf_blocks(page: str) -> list[Block]:
         buffer.append(piece)
         size = len(piece.strip())
         total += size
-        linked += size * any(t == "a" for t, _ in stack)
+        linked += size * ("a" in here.where)
+
+    def after(mark: str, start: int) -> int:
+        """The place after the next `mark`, or -1."""
+        end = -1 if mark in never else page.find(mark, start)
+        if end < 0:
+            never.add(mark)
+            return -1
+        return end + len(mark)
 
     while at < n:
         lt = page.find("<", at)
@@ -80,64 +171,59 @@ def leaf_blocks(page: str) -> list[Block]:
             break
         if lt > at:
             say(page[at:lt])
-        m = TAG.match(page, lt)
+        m = TAG.match(page, lt) if ">" not in never else None
         if not m:
             if page.startswith("<!--", lt):
-                end = page.find("-->", lt + 4)
-                at = n if end < 0 else end + 3
+                end = after("-->", lt + 4)
+                at = n if end < 0 else end
             elif page[lt + 1 : lt + 2] in ("!", "?", "/") or page[lt + 1 : lt + 2].isalpha():
-                end = page.find(">", lt)
-                at = n if end < 0 else end + 1
+                end = after(">", lt)
+                at = n if end < 0 else end
             else:
                 say("<")
                 at = lt + 1
             continue
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in UNSEEN:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            here.close(tag)
             continue
-        if tag in UNSEEN and not m[3].endswith("/"):
-            if tag not in INLINE:
-                flush()
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+        self_closed = m[3].endswith("/") and bool(SELF_CLOSED.search(m[3]))
+        if tag in UNSEEN:
+            if self_closed and tag not in RAW:
+                continue
+            end = None if tag in never else _END[tag].search(page, at)
             if end:
                 at = end.end()
-            elif tag not in ("head", "title"):
-                at = n
+            else:
+                never.add(tag)
+                if tag in RAW and not self_closed:
+                    at = n
             continue
         if tag not in INLINE:
             flush()
             if tag not in VOID:
-                if any(t == "p" for t, _ in stack):
-                    del stack[next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p") :]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in CLOSES.get(tag, ()):
-                        del stack[k:]
-                    elif stack[k][0] in LISTS:
-                        break
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, _names(m[3])))
+                here.make_room(tag)
+        if tag not in VOID and not self_closed:
+            here.push(tag, _names(m[3]))
     flush()
     return out
 
 
+_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in UNSEEN}
+
+
 def block_features(b: Block) -> tuple[str, ...]:
     """Ancestor tags and names, and the look of the text."""
     w = b.text.split()
     low = {x.strip(".,:;!?()").lower() for x in w} if len(w) <= 40 else ()
-    out = {"", f"own {b.tags[-1] if b.tags else 'none'}", f"words {min(7, len(w).bit_length())}", f"links {min(3, int(b.links * 4))}"}
+    out = {"", f"own {b.own}", f"words {min(7, len(w).bit_length())}", f"links {min(3, int(b.links * 4))}"}
     out.update(f"in {t}" for t in b.tags)
-    out.update(f"name {x}" for x in b.names)
+    out.update(f"name {x}" for x in b.names if x != _Open.ANY)
     out.update(f"cue {c}" for c in CUES if c in low)
     if "article" not in b.tags and "main" not in b.tags:
-        out.update(("outside", f"outside, own {b.tags[-1] if b.tags else 'none'}", f"outside, words {min(7, len(w).bit_length())}"))
+        out.update(("outside", f"outside, own {b.own}", f"outside, words {min(7, len(w).bit_length())}"))
     if not b.names:
         out.add("no names")
     if b.text[-1] in ".!?\"”»":
@@ -245,8 +331,16 @@ def trained() -> crf.LinearChain:
     return crf.fit(sequences, labels, lambda x: x, iterations=120, rate=0.2, ridge=3e-4)
 
 
+def known_names(chain: crf.LinearChain) -> frozenset:
+    """The class and id words that the field has met."""
+    held = chain.__dict__.get("_known_names")
+    if held is None:
+        held = chain.__dict__["_known_names"] = frozenset(f[5:] for f in chain.weights if f.startswith("name "))
+    return held
+
+
 def main_text(page: str | None, chain: crf.LinearChain, memory: dict | None = None) -> str:
-    blocks = leaf_blocks(page or "")
+    blocks = leaf_blocks(page or "", known_names(chain))
     if not blocks:
         return ""
     scores = []

@@ -167,8 +167,46 @@ def test_blocks():
     assert pagetext.leaf_blocks("<p class='x") == [] and pagetext.leaf_blocks("<!-- never closed") == []
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>one <script src=/a/>var x = 1; alert(x);</script>two</p>", ["one two"]),
+        ("<p>a</p><select><option>s<p>b</p><video><p>c", ["a", "s", "b", "c"]),
+        ("<p>x <svg><title>q</title><text>z</text></svg>y <object><p>o</p></object>z</p>", ["x y z"]),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> be</p>", ["let x=2 be"]),
+        ("<p>a <style>p{}</style>b<script>never closed <p>c", ["a b"]),
+        ("<p>a<script src='x'/><p>b", ["a", "b"]),
+        ("<ul><li>1<div>d</div><li>2<ul><li>3</ul><li>4</ul>", ["1", "d", "2", "3", "4"]),
+        ("<p><i>a<div>b</i>c</div>d", ["a", "bc", "d"]),
+    ],
+)
+def test_what_is_text_and_what_ends_a_block(page, want):
+    assert [b.text for b in pagetext.leaf_blocks(page)] == want
+
+
+def test_links_with_an_unquoted_address():
+    (b,) = pagetext.leaf_blocks("<p><a href=/x/>link</a> rest</p>")
+    assert b.links == 0.5
+
+
+def test_reading_is_linear():
+    """Pages that nest, repeat or never close: four times the page takes nowhere near sixteen times the time."""
+    import time
+
+    shapes = [lambda n: "<div>a" * n, lambda n: "<title>" * n, lambda n: "".join(f"<div class='k{i}'>a" for i in range(n)), lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<ul>" + "<div>" * n + "<li>x" * n, lambda n: "<!--" * n, lambda n: "<select>x" * n]
+    chain = pagetext.trained()
+    for shape in shapes:
+        took = []
+        for n in (4000, 16_000):
+            start = time.perf_counter()
+            pagetext.main_text(shape(n), chain)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 0.3 + 8 * took[0]
+
+
 def test_page_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<div class=ad>buy</div>"), (3, "u", "<div class=ad>buy</div>"), (None, None, "<article><p>" + "w " * 50000 + "</p></article>")]
     got = pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")).collect()
     assert [(r["page_id"], r["text"][:3], r["n_chars"]) for r in got[:2]] == [(1, "", 0), (2, "", 0)]
     assert got[2] == got[3] and got[4]["n_chars"] == 99999
+    assert pagetext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
