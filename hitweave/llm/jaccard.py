@@ -25,9 +25,10 @@ no row of the group has a doc_id); extra columns are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -178,12 +179,69 @@ def band_survivors(sig: np.ndarray, left: np.ndarray, right: np.ndarray, same: b
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def _task(pdf: pd.DataFrame, band: int, threshold: float, tolerance: float) -> np.ndarray:
-    """Pairs of rows of a task (band, key, p, q) that are left; the rows have `sig` and `part`."""
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, VALUES)
-    p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-    sides = [np.flatnonzero(pdf["part"].to_numpy() == x) for x in (p, q)]
-    return band_survivors(sig, sides[0], sides[1], p == q, band, threshold, tolerance)
+TASK = ["band", "key", "p", "q"]
+
+
+def small_survivors(sig: np.ndarray, band: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, threshold: float, tolerance: float, step: int = 8) -> np.ndarray:
+    """As `band_survivors`, for many small groups of rows at once: all pairs of each group, thinned out step by step."""
+    out = []
+    for n in np.unique(sizes).tolist():
+        i, j = np.triu_indices(n, 1)
+        starts = firsts[sizes == n]
+        for lo in range(0, len(starts), max(1, 200_000 // max(1, len(i)))):
+            part = starts[lo : lo + max(1, 200_000 // max(1, len(i)))]
+            a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+            count = np.zeros(len(a), np.int64)
+            for k in range(0, VALUES, step):
+                count += (sig[a, k : k + step] == sig[b, k : k + step]).sum(1)
+                keep = count >= least_matches(k + step, threshold, tolerance)
+                a, b, count = a[keep], b[keep], count[keep]
+            same = (sig[a].reshape(len(a), VALUES // ROWS, ROWS) == sig[b].reshape(len(a), VALUES // ROWS, ROWS)).all(2)
+            own = same.argmax(1) == band[a]  # the first band that they share
+            out.append(np.stack([a[own], b[own]], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def task_pairs(rows: pa.Table, threshold: float, tolerance: float, small: int = 64) -> list[np.ndarray]:
+    """Pairs of rows left in each task of `rows`, which are sorted by task."""
+    key = [rows[c].to_numpy() for c in TASK]
+    change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+    firsts = np.concatenate([[0], change])
+    sizes = np.diff(np.concatenate([firsts, [rows.num_rows]]))
+    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(-1, VALUES)
+    band, p, q, part = key[0], key[2], key[3], rows["part"].to_numpy()
+    few = (sizes <= small) & (p[firsts] == q[firsts])
+    out = []
+    if few.any():
+        pairs = small_survivors(sig, band, firsts[few], sizes[few], threshold, tolerance)
+        at = np.searchsorted(firsts, pairs[:, 0], "right")
+        order = np.argsort(at, kind="stable")
+        out += np.split(pairs[order], np.flatnonzero(np.diff(at[order])) + 1) if len(pairs) else []
+    for k in np.flatnonzero(~few).tolist():
+        inside = np.arange(firsts[k], firsts[k] + sizes[k])
+        left, right = (inside[part[inside] == x] for x in (p[firsts[k]], q[firsts[k]]))
+        out.append(band_survivors(sig, left, right, p[firsts[k]] == q[firsts[k]], int(band[firsts[k]]), threshold, tolerance))
+    return out
+
+
+def by_task(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """`work` over whole tasks, many to a call: a call for each of thousands of small groups would cost far more than the groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
+            same = np.all([held[c].to_numpy()[1:] == held[c].to_numpy()[:-1] for c in TASK], axis=0)
+            ends = np.flatnonzero(~same)
+            if len(ends):
+                cut = int(ends[-1]) + 1
+                yield from work(held.slice(0, cut)).to_batches()
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from work(held).to_batches()
+
+    return rows.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(run, schema)
 
 
 def classed(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 400, block_chars: int = 8_000_000) -> DataFrame:
@@ -216,29 +274,35 @@ def classed(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, tolera
         .select("band", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "sig")
     )
 
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        used = np.unique(_task(pdf, int(pdf["band"].iloc[0]), threshold, tolerance))
-        return pdf.iloc[used][["band", "key", "p", "q", "part", "node"]]
+    def prune(rows: pa.Table) -> pa.Table:
+        found = task_pairs(rows, threshold, tolerance)
+        used = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return rows.take(pa.array(used)).select([*TASK, "part", "node"])
 
-    task = ["band", "key", "p", "q"]
-    left = materialise(spark, dealt.groupBy(*task).applyInPandas(prune, "band int, key long, p int, q int, part int, node long"), "candidates")
+    left = materialise(spark, by_task(dealt, prune, "band int, key long, p int, q int, part int, node long"), "candidates")
     wanted = classes.join(left.select("node").distinct(), "node", "left_semi").select("node", "row_id", "row_digest", "copies", "sig")
     # of several rows with one id and text any will do; copies fold on the map side
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("row_id"), text_digest().alias("row_digest"), "text")
     texts = KeyFilter(wanted, ["row_id", "row_digest"]).maybe(rows).groupBy("row_id", "row_digest").agg(F.first("text").alias("text")).join(wanted, ["row_id", "row_digest"]).drop("row_id", "row_digest")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = _task(pdf, int(pdf["band"].iloc[0]), threshold, tolerance)
-        nodes, copies = pdf["node"].tolist(), pdf["copies"].tolist()
-        found = verified_pairs([shingles(t or "") for t in pdf["text"]], pairs, threshold)
-        count: dict[int, int] = {}
-        for i, j in found.tolist():
-            count[i] = count.get(i, 0) + copies[j]
-            count[j] = count.get(j, 0) + copies[i]
-        low = _lowest(nodes, found)
-        return pd.DataFrame({"node": [nodes[k] for k in count], "linked": list(count.values()), "low": [low[k] for k in count]}, columns=["node", "linked", "low"]).astype("int64")
-
-    verified = materialise(spark, left.join(texts, "node").groupBy(*task).applyInPandas(compare, "node long, linked long, low long"), "verified")
+    out = pa.schema([("node", pa.int64()), ("linked", pa.int64()), ("low", pa.int64())])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        nodes, copies, texts = (rows[c].to_pylist() for c in ("node", "copies", "text"))
+        got: list[tuple] = []
+        for pairs in task_pairs(rows, threshold, tolerance):
+            used, local = np.unique(pairs, return_inverse=True)
+            used = used.tolist()
+            found = verified_pairs([shingles(texts[k] or "") for k in used], local.reshape(-1, 2), threshold)
+            count: dict[int, int] = {}
+            for i, j in found.tolist():
+                count[i] = count.get(i, 0) + copies[used[j]]
+                count[j] = count.get(j, 0) + copies[used[i]]
+            low = _lowest([nodes[k] for k in used], found)
+            got += [(nodes[used[k]], count[k], low[k]) for k in count]
+        return pa.Table.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*got) if got else ([], [], []))], schema=out)
+
+    verified = materialise(spark, by_task(left.join(texts, "node"), compare, "node long, linked long, low long"), "verified")
     near = components(spark, verified.select(F.col("node").alias("a"), F.col("low").alias("b")))
     whole = classes.select("node", "first_id", "copies").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = whole.groupBy("component").agg(F.min("first_id").alias("class_id"))

@@ -208,3 +208,24 @@ def test_query_equals_brute_force(spark, tmp_path):
             if x and any(edit(x, w[a : a + n]) <= k for n in range(max(1, len(x) - k), len(x) + k + 1) for a in range(max(0, len(w) - n) + 1)):
                 want.add((d, i, True))
     assert got == want
+
+
+def test_small_groups_at_once_equal_one_by_one():
+    r = np.random.default_rng(5)
+    sizes, rows, band = np.array([2, 5, 3, 1, 5]), [], []
+    for b, n in enumerate(sizes):
+        base = r.integers(0, 2**32, jc.VALUES, dtype=np.uint32)
+        for _ in range(n):
+            own = base.copy()
+            own[r.random(jc.VALUES) < 0.25] += 1
+            rows.append(own)
+            band.append(int(b) % 3)
+    sig, band, firsts = np.array(rows), np.array(band), np.cumsum(sizes) - sizes
+    got = {tuple(p) for p in jc.small_survivors(sig, band, firsts, sizes, 0.8, 1e-6).tolist()}
+    want = set()
+    for f, n in zip(firsts, sizes):
+        at = np.arange(f, f + n)
+        for i, j in jc.band_survivors(sig, at, at, True, int(band[f]), 0.8, 1e-6).tolist():
+            if (sig[i].reshape(-1, 4) == sig[j].reshape(-1, 4)).all(1)[band[f]]:  # rows of a task share its band
+                want.add((i, j))
+    assert got == want
