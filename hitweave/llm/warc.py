@@ -24,7 +24,6 @@ error for that record, in `problem`, and its payload is null; extra columns are
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import zlib
@@ -199,20 +198,22 @@ def parse(content: bytes) -> Iterator[dict]:
         yield {**none, "record_type": "unreadable", "block": content[lost:]}
 
 
-def unpacked(raw: bytes) -> bytes:
-    """The content of a gzipped archive; of one that is cut or broken, what comes before the break."""
-    try:
-        return gzip.decompress(raw)
-    except (EOFError, OSError, zlib.error):
-        out, rest = [], raw
-        while rest[:2] == b"\x1f\x8b":
-            opener = zlib.decompressobj(31)
-            try:
-                out.append(opener.decompress(rest))
-            except zlib.error:
-                break
-            rest = opener.unused_data
-        return b"".join(out)
+def unpacked(raw: bytes, step: int = 4096) -> bytes:
+    """The content of a gzipped archive of any number of members; of one that is cut or broken, what comes before the break.
+
+    A member is fed in slices, the first of them small: what is left of a slice behind a member's end is copied.
+    """
+    out, at = [], 0
+    while raw.startswith(b"\x1f\x8b", at):
+        opener, size = zlib.decompressobj(31), step
+        try:
+            while not opener.eof and at < len(raw):
+                out.append(opener.decompress(raw[at : at + size]))
+                at = min(len(raw), at + size) - len(opener.unused_data)
+                size *= 2
+        except zlib.error:
+            break
+    return b"".join(out)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
