@@ -36,21 +36,9 @@ from pyspark.sql import functions as F
 from hitweave.llm.common import KeyFilter, materialise, shared_path
 
 END = b"\r\n\r\n"
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS = "record_id string, origin_id string, segment int, total_length long, record_type string, page_id long, url string, refers_to long, digest string, full_bytes long, block binary"
 
 
-def base32_sha1(payload) -> F.Column:
-    """Upper-case base32 of the SHA-1 of a binary column: each five hexadecimal digits make four characters."""
-    hexes = F.sha1(payload)
-
-    def five(k):
-        v = F.conv(F.substring(hexes, k, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*(F.substring(F.lit(BASE32), F.shiftright(v, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)))
-
-    return F.concat(*(five(F.lit(1 + 5 * k)) for k in range(8)))
-
-
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -90,6 +78,7 @@ def page_records(key: str, page_id: int | None, url: str | None, payload: bytes
     """The records of one page: a revisit, or a response with its continuations."""
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url is not None else None
     raw = {"X_Page_Url": base64.b64encode(url.encode()).decode() if url is not None and uri != url else None}
+    sha = base64.b32encode(bytes.fromhex(sha)).decode()
     common = {"WARC_Record_ID": f"<urn:page:{key}>", "WARC_Target_URI": uri, **raw, "X_Page_Id": page_id, "WARC_Payload_Digest": f"sha1:{sha}"}
     if refers_to is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Archived-Length: %d\r\n\r\n" % size
@@ -106,9 +95,9 @@ def page_records(key: str, page_id: int | None, url: str | None, payload: bytes
 
 
 def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (null for revisits), digest, size, refers_to of every page."""
+    """page_id, url, payload (null for revisits), digest (SHA-1 in hexadecimal), size, refers_to of every page."""
     spark = pages.sparkSession
-    base = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.length("payload").cast("long"))
+    base = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.length("payload").cast("long"))
     counted = base.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies"))
     shared = materialise(spark, counted.where("copies > 1").select("digest", "first_id"), "shared")
     which = KeyFilter(shared, ["digest"])
