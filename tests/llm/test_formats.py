@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import re
 from collections import Counter
 
 import duckdb
@@ -131,6 +132,79 @@ def test_marks_that_give_nothing_stay_in_the_text(spark):
     assert got[9]["content"].strip() == "" and len(got[9]["calls"]) == 2 and got[10]["content"] == ""
 
 
+def brute_links(rows):
+    """calls, results and orphans of every message by plain loops over a conversation."""
+    schemas = {"search": {"query": ("string", True), "limit": ("bigint", False)}, "calculate": {"expression": ("string", True)}, "fetch": {"url": ("string", True), "headers": ("object", False)}}
+    kind = lambda v: {bool: "boolean", int: "bigint", float: "double", str: "string", dict: "object", list: "array", type(None): "null"}[type(v)]
+    out = {}
+    for conv in {r[0] for r in rows}:
+        calls, results = [], []
+        for _, turn, text in sorted(r for r in rows if r[0] == conv):
+            for k, m in enumerate(re.findall(r"(?s)<tool_call>(.*?)</tool_call>", text)):
+                c = json.loads(m)
+                calls.append({"turn": turn, "place": k, "id": c["id"], "name": c["name"], "arguments": c["arguments"]})
+            for m in re.findall(r"(?s)<tool_result>(.*?)</tool_result>", text):
+                results.append((turn, json.loads(m)))
+        first = {}
+        for c in calls:
+            first.setdefault(c["id"], c)
+        level, open_ = {}, list(range(len(calls)))
+        refs = [[first[x] for x in set(re.findall(r'"\$([^"]+)"', json.dumps(c["arguments"]))) if x in first] for c in calls]
+        while True:
+            ready = [k for k in open_ if all(id(x) in level for x in refs[k])]
+            if not ready:
+                break
+            now = {id(calls[k]): max((level[id(x)] + 1 for x in refs[k]), default=0) for k in ready}
+            level |= now
+            open_ = [k for k in open_ if k not in ready]
+        for c in calls:
+            schema = schemas.get(c["name"])
+            if schema is None:
+                problem = "unknown tool"
+            else:
+                wrong = [f"missing argument {a}" for a, (_, need) in schema.items() if need and a not in c["arguments"]]
+                wrong += [f"unknown argument {a}" if a not in schema else f"type of argument {a}" for a, v in c["arguments"].items() if a not in schema or schema[a][0] != kind(v)]
+                problem = min(wrong, default=None)
+            if first[c["id"]] is not c and problem is None:
+                problem = "repeated"
+            answer = next((r["content"] for _, r in results if r["id"] == c["id"]), None) if first[c["id"]] is c else None
+            out.setdefault((conv, c["turn"]), []).append((c["place"], c["id"], c["name"], level.get(id(c), -1), problem, answer))
+        for turn, r in results:
+            out.setdefault((conv, turn, "orphans"), []).append(r["id"] not in first)
+    return out
+
+
+def test_query_links_as_brute_force_does(spark, tmp_path):
+    """The registered query over random chats: references, cycles, repeated identifiers, orphans, wrong arguments, ties of turn."""
+    import random
+
+    from hitweave.llm import queries
+
+    r = random.Random(11)
+    rows = []
+    for conv in range(25):
+        names = [f"c{i}" for i in range(r.randint(1, 12))]
+        for turn in range(r.randint(1, 10)):
+            text = r.choice(["", "hello ", "x" * 3000 + " "])
+            for _ in range(r.randint(0, 3)):
+                arguments = {a: v for a, v in [("query", r.choice(["q", f"${r.choice(names)}", 5])), ("limit", r.choice([3, "three"])), ("url", f"${r.choice(names)}"), ("expression", "1+1"), ("headers", r.choice([{}, {"a": f"${r.choice(names)}"}, [1]]))] if r.random() < 0.4}
+                text += call(r.choice(names), r.choice(["search", "fetch", "calculate", "zip"]), **arguments) + " and "
+            for _ in range(r.randint(0, 2)):
+                text += "<tool_result>" + json.dumps({"id": r.choice([*names, "other"]), "content": r.randint(0, 99)}) + "</tool_result>"
+            rows.append((conv, turn, text))
+    spark.createDataFrame([(c, t, "assistant", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = brute_links(rows)
+    for got in queries.op5_tool_call_linking(spark, str(tmp_path)).collect():
+        key, message = (got["conv_id"], got["turn"]), json.loads(got["message_json"])
+        mine = sorted(want.get(key, []))
+        calls = [(c["id"], c["name"], c["level"], c["problem"], (c["result"] or {}).get("content")) for c in message["calls"]]
+        assert sorted(calls, key=str) == sorted((x[1:] for x in mine), key=str)
+        order = [c["level"] if c["level"] >= 0 else 10**9 for c in message["calls"]]
+        assert order == sorted(order)
+        assert [x["orphan"] for x in message["results"]] == want.get((*key, "orphans"), []) and got["n_orphans"] == sum(want.get((*key, "orphans"), []))
+        assert "<tool_" not in message["content"]
+
+
 # ---- archives
 
 
@@ -313,3 +387,33 @@ def test_pipeline(spark, sf):
     v, model = pieces.Vocabulary.load(), pii.trained()
     for i in list(got)[:60]:
         assert v.decode(got[i]) == pii.redacted(text[i], pii.all_spans(text[i], model)[1])
+
+
+def test_pipeline_cases(spark, tmp_path, messy, sf):
+    """Stages over nulls, empty and very long texts, ties, repeated rows and clashing columns; then over empty tables."""
+    import corpus_pipeline
+
+    messy.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == messy.columns and kept.count() <= docs.count(), name
+    assert corpus_pipeline.keep_one_of_near_copies(spark, docs, str(tmp_path)).count() == messy.count() - 3
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_pieces", "ids"]
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_quality_stage_keeps_what_scores(spark, messy):
+    from hitweave.llm import quality
+
+    labels = spark.createDataFrame([(3, 1), (5, 0), (8, 1), (9, 0), (7, 0)], "doc_id long, quality int")
+    scores = {}
+    for r in quality.classify(messy, labels).collect():
+        scores.setdefault(r["doc_id"], []).append(r["score"])
+    kept = quality.keep_good(spark, messy, labels)
+    got = Counter(r["doc_id"] for r in kept.collect())
+    assert kept.columns == messy.columns and got == Counter({i: sum(x >= 0.3 for x in s) for i, s in scores.items() if any(x >= 0.3 for x in s)})
