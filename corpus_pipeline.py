@@ -1,4 +1,11 @@
-"""The corpus pipeline: quality, near copies, benchmark leaks, personal data, pieces; each stage takes what the one before kept."""
+"""The corpus pipeline: quality, near copies, benchmark leaks, personal data, pieces; each stage takes what the one before kept.
+
+Every stage looks at all rows it is given and keeps all columns; the last gives doc_id, n_pieces and ids. Defined cases: a null text
+counts as empty, is scored like one, resembles and leaks nothing, and stays null until the last stage, which gives it no pieces;
+rows with a null doc_id are never removed as copies; a repeated row stays once, other texts under one doc_id stay apart;
+among near copies the least doc_id stays (by doc_id and text, where ids tie); very long texts are read whole; empty tables give empty
+results; extra columns, whatever their names, pass through. Without labels no text is rejected for its quality (all score 0.5).
+"""
 
 from __future__ import annotations
 
