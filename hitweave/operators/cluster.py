@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitweave.operators.components import components, local_components
+from hitweave.operators.order import before_slabs, block_window, in_blocks, ranked
 from hitweave.operators.spatial import adjacent_voxels, voxels
 from hitweave.session import written
 
@@ -131,9 +132,11 @@ def sessions(hits: DataFrame, gap: int = 50) -> DataFrame:
     """hits with `session`: a hit more than `gap` sixteenths after the one before it starts a session, numbered from 0 in its source."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("source").orderBy("fine", "hit_id")
-    starts = F.when(F.col("fine") - F.lag("fine").over(w) > gap, 1).otherwise(0)
-    return hits.withColumn("_start", starts).withColumn("session", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_start")
+    w = block_window()
+    starts = in_blocks(ranked(hits), 1).withColumn("_start", F.when(F.col("fine") - F.lag("fine").over(w) > gap, 1).otherwise(0)).where("_own")
+    before = before_slabs(starts, ["source"], "_block", F.sum("_start"), "_before")
+    inner = F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return starts.withColumn("_inner", inner).join(before, ["source", "_block"]).withColumn("session", (F.col("_before") + F.col("_inner")).cast("long")).select(*hits.columns, "session")
 
 
 def windowed_dbscan(spark: SparkSession, hits: DataFrame, eps: float = 5.0, min_samples: int = 2, time_scale: float = 0.625, size: int = 250_000, overlap: int = 25_000) -> DataFrame:
@@ -142,11 +145,8 @@ def windowed_dbscan(spark: SparkSession, hits: DataFrame, eps: float = 5.0, min_
     Clusters of two windows that share a hit are one. Unlike `dbscan` this can differ from clustering whole sources where a window's edge
     cuts a core's neighbours. Windows of `size` hits are tasks; a source's windows run side by side.
     """
-    from pyspark.sql import Window
-
     unit, step = 16.0 * time_scale, max(1, size - overlap)
-    w = Window.partitionBy("source").orderBy("fine", "hit_id")
-    placed = hits.select("source", "hit_id", "x", "y", "fine", (F.row_number().over(w) - 1).alias("pos"), F.count("*").over(Window.partitionBy("source")).alias("n"))
+    placed = ranked(hits.select("source", "hit_id", "x", "y", "fine"))
     last = F.greatest(F.lit(0), F.ceil((F.col("n") - size) / step))
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / step) + 1)
     dealt = placed.withColumn("slab", F.explode(F.sequence(first, F.least(last, F.floor(F.col("pos") / step))))).withColumn("own", F.lit(True))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitweave.session import written
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
@@ -15,37 +17,56 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, k: int, query_every: int = 100, block: int = 2048) -> DataFrame:
     """(a, b, rank, distance): the k nearest others, ties by id, of every vector whose id is a multiple of query_every, among all vectors.
 
-    The queries are a stated set; they go out in blocks, each task keeps the k best of its own vectors for each query, and only these
-    meet in the last ranking.
+    The queries are a stated set. They go out in blocks of `block`, which bounds what driver and tasks hold; each task keeps the k
+    best of its own vectors for each query, and only these meet in the last ranking. A block's result is written before the next goes
+    out, so the plan holds one block.
     """
     queries = vectors.where(F.col("vec_id") % query_every == 0).select("vec_id", "embedding")
     n_blocks = max(1, -(-queries.count() // block))
-    out = None
+    out, last = None, None
     for b in range(n_blocks):
+        if last is not None:
+            done = written(vectors.sparkSession, last, "nearest")
+            out = done if out is None else out.unionByName(done)
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).orderBy("vec_id").collect()
-        part = _nearest_block(vectors, np.array([r["vec_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64), k)
-        out = part if out is None else out.unionByName(part)
-    return out
+        last = _nearest_block(vectors, np.array([r["vec_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64), k)
+    return last if out is None else out.unionByName(last)
+
+
+def best_of(ids: np.ndarray, q: np.ndarray, own: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, id, distance) of the k nearest rows of m to each query, ties by id.
+
+    One matrix product gives distances up to rounding; rows within that of the k-th are measured exactly, so ties are kept whole.
+    """
+    rough = np.maximum((q**2).sum(1)[:, None] + (m**2).sum(1)[None, :] - 2 * (q @ m.T), 0)
+    rough[ids[:, None] == own[None, :]] = np.inf
+    kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if m.shape[0] > k else np.full(len(q), np.inf)
+    slack = 1e-9 * (1 + (q**2).sum(1) + (m**2).sum(1).max())
+    i, j = np.nonzero((rough <= (kth + slack)[:, None]) & np.isfinite(rough))
+    d = np.empty(len(i))
+    for lo in range(0, len(i), 100_000):
+        part = slice(lo, lo + 100_000)
+        d[part] = np.sqrt(((m[j[part]] - q[i[part]]) ** 2).sum(1))
+    order = np.lexsort((own[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    firsts = np.searchsorted(i, np.arange(len(q)))
+    keep = np.arange(len(i)) - firsts[i] < k
+    return i[keep], own[j[keep]], d[keep]
 
 
 def _nearest_block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
     from pyspark.sql import Window
 
     def best(batches):
-        held = pd.DataFrame({"a": [], "b": [], "distance": []}).astype({"a": "int64", "b": "int64"})
+        held = pd.DataFrame({"i": [], "b": [], "distance": []}).astype({"i": "int64", "b": "int64", "distance": "float64"})
         for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            m, own = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["vec_id"].to_numpy()
-            parts = [held]
-            for i in range(len(ids)):
-                d = np.sqrt(((m - q[i]) ** 2).sum(1))
-                d[own == ids[i]] = np.inf
-                near = np.argpartition(d, min(k, len(d)) - 1)[:k] if len(d) > k else np.arange(len(d))
-                near = np.flatnonzero(d <= d[near].max()) if np.isfinite(d[near]).all() else near[np.isfinite(d[near])]
-                parts.append(pd.DataFrame({"a": ids[i], "b": own[near], "distance": d[near]}))
-            held = pd.concat(parts).sort_values(["a", "distance", "b"]).groupby("a").head(k)
-        yield held
+            if len(pdf) and len(ids):
+                m, own = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["vec_id"].to_numpy()
+                for lo in range(0, len(own), 2048):
+                    i, b, d = best_of(ids, q, own[lo : lo + 2048], m[lo : lo + 2048], k)
+                    held = pd.concat([held, pd.DataFrame({"i": i, "b": b, "distance": d})])
+                held = held.sort_values(["i", "distance", "b"]).groupby("i").head(k)
+        yield pd.DataFrame({"a": ids[held["i"].to_numpy()] if len(held) else held["i"], "b": held["b"], "distance": held["distance"]})
 
     found = vectors.select("vec_id", "embedding").mapInPandas(best, "a long, b long, distance double")
     w = Window.partitionBy("a").orderBy("distance", "b")
@@ -100,7 +121,8 @@ def correlations(vectors: DataFrame, dims: int) -> DataFrame:
 
 def histogram_2d(points: DataFrame, x: str, y: str, bins: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Counts in bins x bins cells between the `low` and `high` quantiles with a margin of 3 %; equal bounds become mean -1 and +1."""
-    bounds = points.agg(*(F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for c in (x, y) for n, q in (("lo", low), ("hi", high))), F.avg(x).alias(f"{x}_m"), F.avg(y).alias(f"{y}_m"))
+    at = lambda c, q: F.min(c) if q == 0 else F.max(c) if q == 1 else F.percentile(c, F.lit(q))
+    bounds = points.agg(*(at(c, q).alias(f"{c}_{n}") for c in (x, y) for n, q in (("lo", low), ("hi", high))), F.avg(x).alias(f"{x}_m"), F.avg(y).alias(f"{y}_m"))
     margin = lambda c: 0.03 * (F.col(f"{c}_hi") - F.col(f"{c}_lo"))
     flat = lambda c: F.col(f"{c}_hi") <= F.col(f"{c}_lo")
     lo = lambda c: F.when(flat(c), F.col(f"{c}_m") - 1).otherwise(F.col(f"{c}_lo") - margin(c))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hitweave.operators.components import components
+from hitweave.operators.order import group_minimum
 from hitweave.operators.spatial import knn_edges, radius_pairs, same_pixel_edges, time_edges
 
 
@@ -69,10 +70,9 @@ def local_density(hits: DataFrame, time_scale: float = 0.625, inner: float = 2.0
 
 def node_features(hits: DataFrame, time_scale: float = 0.625) -> DataFrame:
     """Centred pixels, time over max(time_scale, 1), scaled log ToT and clipped FToA of every hit."""
-    w = Window.partitionBy("source")
     r = lambda c: F.round(c, 6)
-    return hits.select(
-        "source", "hit_id", r((F.col("x") - 127.5) / 128.0).alias("fx"), r((F.col("y") - 127.5) / 128.0).alias("fy"), r((F.col("fine") - F.min("fine").over(w)) / (16.0 * max(time_scale, 1.0))).alias("ft"),
+    return group_minimum(hits, "source", "fine", "first_fine").select(
+        "source", "hit_id", r((F.col("x") - 127.5) / 128.0).alias("fx"), r((F.col("y") - 127.5) / 128.0).alias("fy"), r((F.col("fine") - F.col("first_fine")) / (16.0 * max(time_scale, 1.0))).alias("ft"),
         r(F.log1p(F.greatest("tot", F.lit(0)).cast("double")) / F.lit(6.931471805599453)).alias("fe"), r(F.least(F.greatest(F.col("ftoa") / 30.0, F.lit(0.0)), F.lit(4.0))).alias("ff"),
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitweave.operators.order import before_slabs
+
 
 def log_energy(tot: Column) -> Column:
     return F.log1p(F.greatest(tot, F.lit(0)).cast("double"))
@@ -24,8 +26,10 @@ def particles(hits: DataFrame, labels: DataFrame) -> DataFrame:
 
 def offsets(parts: DataFrame) -> DataFrame:
     """Running start of each particle's hits in its source, in label order (compressed sparse rows)."""
-    w = Window.partitionBy("source").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select("source", "label", "n_hits", F.coalesce(F.sum("n_hits").over(w), F.lit(0)).alias("offset"))
+    slabbed = parts.select("source", "label", "n_hits", F.shiftright("label", 34).alias("_slab"))
+    before = before_slabs(slabbed, ["source"], "_slab", F.sum("n_hits"), "_before")
+    w = Window.partitionBy("source", "_slab").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    return slabbed.withColumn("_inner", F.coalesce(F.sum("n_hits").over(w), F.lit(0))).join(before, ["source", "_slab"]).select("source", "label", "n_hits", (F.col("_before") + F.col("_inner")).alias("offset"))
 
 
 def noise_summary(labels: DataFrame) -> DataFrame:
@@ -83,11 +87,11 @@ def preprocessing_audit(hits: DataFrame) -> DataFrame:
 
 def energy_quantiles(hits: DataFrame) -> DataFrame:
     """min, p50, p90, p99, max of ToT, its log, and the log over log(1024)."""
-    out = None
-    for name, v in (("tot", F.col("tot").cast("double")), ("log", log_energy(F.col("tot"))), ("scaled", log_energy(F.col("tot")) / F.lit(6.931471805599453))):
-        part = hits.select(v.alias("v")).agg(F.lit(name).alias("measure"), F.round(F.min("v"), 6).alias("min"), *(F.round(F.percentile("v", F.lit(p)), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.9, 0.99)), F.round(F.max("v"), 6).alias("max"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # values are counted first, so that the quantiles see one row a value of ToT
+    counts = hits.groupBy("tot").count()
+    measures = (("tot", F.col("tot").cast("double")), ("log", log_energy(F.col("tot"))), ("scaled", log_energy(F.col("tot")) / F.lit(6.931471805599453)))
+    each = counts.select("count", F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), v.alias("v")) for n, v in measures))).alias("m")).select("count", "m.*")
+    return each.groupBy("measure").agg(F.round(F.min("v"), 6).alias("min"), *(F.round(F.percentile("v", F.lit(p), F.col("count")), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.9, 0.99)), F.round(F.max("v"), 6).alias("max"))
 
 
 def marker_gaps(rows: DataFrame) -> DataFrame:

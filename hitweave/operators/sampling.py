@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitweave.operators.order import ranked
+
 
 def stable_int(key: Column, digits: int = 8) -> Column:
     """The first hexadecimal digits of a key's SHA-1 as an integer."""
@@ -25,7 +27,8 @@ def stratified(rows: DataFrame, tier: str, key: str, quotas: dict[str, int], see
     """The first rows of each stratum by hash, as many as its quota; a stratum without a quota gives none."""
     rank = F.row_number().over(Window.partitionBy(tier).orderBy(stable_int(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 15), key))
     quota = F.coalesce(*(F.when(F.col(tier) == t, q) for t, q in quotas.items()), F.lit(0))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= quota).drop("_rank")
+    # the greatest quota bounds the ranks before each row's own does: tasks keep that many rows a stratum, and only these are shuffled
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= max(quotas.values(), default=0)).where(F.col("_rank") <= quota).drop("_rank")
 
 
 def ratio_selection(rows: DataFrame, flag: str, key: str, ratio: float, seed: int = 0) -> DataFrame:
@@ -34,28 +37,36 @@ def ratio_selection(rows: DataFrame, flag: str, key: str, ratio: float, seed: in
         return rows.where(~F.col(flag))
     if ratio >= 1:
         return rows.where(F.col(flag))
-    plain = rows.where(~F.col(flag)).agg(F.count("*").alias("_plain"))
-    ranked = rows.where(F.col(flag)).withColumn("_h", stable_int(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 15))
-    # only hash and key are ranked: ranks come from counts of hash ranges, then within a range
-    part = F.shiftright("_h", 50)
-    sizes = ranked.groupBy(part.alias("_part")).count()
-    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = ranked.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_h", key)))
-    placed = inner.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_rank") + F.col("_before"))
-    quota = plain.select(F.rint(F.col("_plain") * ratio / (1 - ratio)).alias("_quota"))
-    chosen = placed.join(F.broadcast(quota)).where(F.col("_rank") <= F.col("_quota")).select(*rows.columns)
-    return rows.where(~F.col(flag)).unionByName(chosen)
+    quota = rows.where(~F.col(flag)).agg(F.rint(F.count("*") * ratio / (1 - ratio)).cast("long")).first()[0]
+    return rows.where(~F.col(flag)).unionByName(first_by_hash(rows.where(F.col(flag)), key, quota, seed).select(*rows.columns))
+
+
+def first_by_hash(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The n rows of least hash (ties by key): ranks come from the counts of 1,024 hash ranges, then within a range."""
+    hashed = rows.withColumn("_h", stable_int(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 15)).withColumn("_all", F.lit(0))
+    return ranked(hashed, "_all", ("_h", key), F.shiftright("_h", 50)).where(F.col("pos") < n).select(*rows.columns)
 
 
 def allocate(groups: DataFrame, target: int, seed: int = 0) -> DataFrame:
     """Round-robin shares of `target` over groups(key, capacity), groups in the order of their hash: in each round every group that
-    has room gets one, until the target is met. Found in closed form from sorted capacities, without a loop over rounds."""
-    h = stable_int(F.concat(F.lit(f"{seed}:"), F.col("key").cast("string")), 15)
-    units = groups.select("key", "capacity", h.alias("h"), F.explode(F.sequence(F.lit(1), F.least("capacity", F.lit(target)).cast("int"))).alias("round")).where("capacity > 0")
-    rounds = units.groupBy("round").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = units.join(F.broadcast(rounds.select("round", "before")), "round").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("round").orderBy("h", "key")))
-    share = placed.where(F.col("place") <= target).groupBy("key").agg(F.count("*").alias("share"))
-    return groups.join(share, "key", "left").select("key", "capacity", F.coalesce("share", F.lit(0)).alias("share"))
+    has room gets one, until the target is met.
+
+    Found in closed form: the last full round follows from the counts of capacities, and only the groups with room in the round
+    after it are ranked, for what is left.
+    """
+    counts = groups.where("capacity > 0").groupBy("capacity").agg(F.count("*").alias("k"))
+    w, whole = Window.partitionBy(F.lit(0)).orderBy("capacity").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(0))
+    curve = counts.select("capacity", F.sum(F.col("capacity") * F.col("k")).over(w).alias("given"), (F.sum("k").over(whole) - F.sum("k").over(w)).alias("open"), F.sum("k").over(whole).alias("all"))
+    at = curve.where(F.col("given") + F.col("capacity") * F.col("open") <= target).orderBy(F.col("capacity").desc()).first()
+    total = counts.agg(F.sum("k")).first()[0] or 0
+    full, given, still = (at["capacity"], at["given"] + at["capacity"] * at["open"], at["open"]) if at else (0, 0, total)
+    more, rest = divmod(target - given, still) if still else (0, 0)
+    full += more
+    share = groups.select("key", "capacity", F.least("capacity", F.lit(full)).alias("share"))
+    if not rest:
+        return share
+    extra = first_by_hash(groups.where(F.col("capacity") > full), "key", rest, seed).select("key", F.lit(1).alias("_more"))
+    return share.join(extra, "key", "left").select("key", "capacity", (F.col("share") + F.coalesce("_more", F.lit(0))).alias("share"))
 
 
 def top_fraction(rows: DataFrame, by: str, value: str, key: str, fraction: float) -> DataFrame:

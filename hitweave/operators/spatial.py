@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitweave.operators.order import block_window, in_blocks, ranked
+
 
 def radius_pairs(hits: DataFrame, eps: float = 5.0, time_scale: float = 0.625, directed: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (source, a, b, dx, dy, df, dist) of different hits of a source within `eps`, ends included.
@@ -44,10 +46,10 @@ def knn_edges(hits: DataFrame, k: int, radius: float, time_scale: float = 0.625)
 
 def time_edges(hits: DataFrame, reach: int = 4) -> DataFrame:
     """Directed edges (source, src, dst) to the `reach` hits before and after in time order."""
-    w = Window.partitionBy("source").orderBy("fine", "hit_id")
+    w = block_window()
     steps = [s for s in range(-reach, reach + 1) if s]
-    near = hits.select("source", F.col("hit_id").alias("src"), F.array(*(F.lead("hit_id", s).over(w) if s > 0 else F.lag("hit_id", -s).over(w) for s in steps)).alias("near"))
-    return near.select("source", "src", F.explode("near").alias("dst")).where("dst is not null")
+    near = in_blocks(ranked(hits.select("source", "hit_id", "fine")), reach).select("source", "_own", F.col("hit_id").alias("src"), F.array(*(F.lead("hit_id", s).over(w) if s > 0 else F.lag("hit_id", -s).over(w) for s in steps)).alias("near"))
+    return near.where("_own").select("source", "src", F.explode("near").alias("dst")).where("dst is not null")
 
 
 def same_pixel_edges(hits: DataFrame, reach_ticks: float = 8.0) -> DataFrame:

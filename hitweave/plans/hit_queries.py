@@ -12,6 +12,7 @@ from hitweave.operators import spatial as sp
 from hitweave.operators import voxels as vx
 from hitweave.operators import windows as wd
 from hitweave.operators.geometry import near_particles
+from hitweave.operators.order import group_minimum
 from hitweave.plans.proxy import HITS, LABELS, PAIRS, PARTICLES, ROWS, hits, labelled, labels, query, rows
 
 W, WR = "WITH ", "WITH RECURSIVE "
@@ -38,9 +39,7 @@ def hits_fine_time(spark, d):
 
 @query(f"{W}{HITS} SELECT source, hit_id, x, y, fine-min(fine) OVER (PARTITION BY source) AS relative, round(ln(1+tot),6) AS energy FROM h")
 def hits_clean(spark, d):
-    from pyspark.sql import Window
-
-    return hits(spark, d).select("source", "hit_id", "x", "y", (F.col("fine") - F.min("fine").over(Window.partitionBy("source"))).alias("relative"), F.round(pt.log_energy(F.col("tot")), 6).alias("energy"))
+    return group_minimum(hits(spark, d), "source", "fine", "first_fine").select("source", "hit_id", "x", "y", (F.col("fine") - F.col("first_fine")).alias("relative"), F.round(pt.log_energy(F.col("tot")), 6).alias("energy"))
 
 
 @query(f"{W}{ROWS} SELECT source, count(*) AS n_rows, CAST(sum(overflow) AS BIGINT) AS n_markers FROM r GROUP BY source")

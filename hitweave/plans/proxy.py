@@ -1,7 +1,8 @@
 """The detector stand-in: rows of `lineitem` read as hits, the same way here and in SQL.
 
-An order is a track along x, one part in ten is scattered, one in fifty is a device marker. hit_id packs the row's four keys and
-its quantity, which no two rows share, so that no global numbering is needed.
+An order is a track along x, one part in ten is scattered, one in fifty is a device marker. hit_id is the order and line number, and
+20 bits of the row's part, supplier and quantity for the few rows that share these two (two of them agree in one of a million
+cases), so that no global numbering is needed; order keys may have 40 bits.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hitweave.operators.cluster import dbscan
 from hitweave.session import written
 
-_ROWS = """SELECT l_orderkey {div} 1000 AS source, (((l_orderkey*10+l_linenumber)*100000+l_partkey)*10000+l_suppkey)*100+CAST(l_quantity AS BIGINT) AS hit_id, l_orderkey AS order_id,
+_ROWS = """SELECT l_orderkey {div} 1000 AS source, (l_orderkey*8+l_linenumber)*1048576+(l_partkey*2654435761+l_suppkey*40503+CAST(l_quantity AS BIGINT)*97)%1048576 AS hit_id, l_orderkey AS order_id,
   CAST(CASE WHEN l_partkey%10=0 THEN (l_partkey*97+l_suppkey*13)%256 ELSE least(255,(l_orderkey*131)%256+l_linenumber) END AS BIGINT) AS x,
   CAST(CASE WHEN l_partkey%10=0 THEN (l_partkey*53+l_suppkey*29)%256 ELSE least(255,(l_orderkey*197)%256+l_partkey%2) END AS BIGINT) AS y,
   CAST(l_orderkey*2+l_linenumber%2+20*(l_orderkey {div} 25) AS BIGINT) AS toa, CAST(l_partkey%32 AS BIGINT) AS ftoa, CAST(l_quantity AS BIGINT) AS tot,
@@ -59,9 +60,20 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).where("overflow = 0")
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The files of a table with their sizes and times of change."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
+
+
+def forget() -> None:
+    """Drop the labels held, so that the next query clusters anew."""
+    _LABELLED.clear()
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, hit_id, label, kind) under the frozen parameters, written once a session and input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """(source, hit_id, label, kind) under the frozen parameters, written once a session and state of the input's files."""
+    key = (spark.sparkContext.applicationId, *_files(spark, f"{sf_dir}/lineitem.parquet"))
     if key not in _LABELLED:
         _LABELLED[key] = written(spark, dbscan(spark, hits(spark, sf_dir)), "labels")
     return _LABELLED[key]
