@@ -165,3 +165,70 @@ def test_ranks_and_neighbours_over_slabs_and_blocks(spark):
         for k, i in enumerate(ids):
             assert got[i] == (k, len(ids))
             assert near[i] == (ids[k - 3] if k >= 3 else None, ids[k + 3] if k + 3 < len(ids) else None)
+
+
+def test_paths_equal_a_plain_computation(spark, particles):
+    from hitweave.operators import paths as ph
+
+    points, _ = sh.view_dataset(particles[1], most=20, large=20, views_per_large=2)
+    points = points.select("label", "view_id", "hit_id", *(F.round(c, 8).alias(c) for c in ("x_centered", "y_centered", "t_norm", "log_tot"))).cache()
+    pose = ph.poses(points)
+    got, path = {(r["label"], r["view_id"]): r for r in pose.collect()}, {}
+    for r in ph.canonical_paths(points, pose, 33).orderBy("step").collect():
+        path.setdefault((r["label"], r["view_id"]), []).append([r[c] for c in ("x_can", "y_can", "x_local", "y_local", "t", "e")])
+    by = {}
+    for r in points.orderBy("hit_id").collect():
+        by.setdefault((r["label"], r["view_id"]), []).append([r["x_centered"], r["y_centered"], r["t_norm"], r["log_tot"]])
+    assert set(got) == set(by) == set(path)
+    for key, rows in by.items():
+        x, y, t, e = np.array(rows).T
+        w = (e + 1e-3) / (e + 1e-3).sum()
+        x0, y0 = x - (x * w).sum(), y - (y * w).sum()
+        value, vector = pca(np.stack([x0, y0], 1), w)
+        theta = math.atan2(vector[1, 0], vector[0, 0]) if len(x) >= 3 else 0.0
+        along = x0 * math.cos(theta) + y0 * math.sin(theta)
+        corr = ((along - (along * w).sum()) * (t - (t * w).sum()) * w).sum()
+        if corr < 0 and len(x) >= 2 and abs(corr) > 1e-11:
+            theta += math.pi
+        assert got[key]["scale_xy"] == pytest.approx(max(np.percentile(np.hypot(x0, y0), 95), 1e-3), abs=1e-6)
+        if len(x) < 3 or value[0] - value[1] < 1e-9 or abs(corr) <= 1e-11:
+            continue
+        assert math.cos(got[key]["theta_xy"] - theta) == pytest.approx(1, abs=1e-9)
+        s = got[key]["scale_xy"]
+        u, v = (math.cos(theta) * x0 + math.sin(theta) * y0) / s, (math.cos(theta) * y0 - math.sin(theta) * x0) / s
+        order = np.lexsort((u.round(12), v.round(12), t))
+        at, to = np.linspace(0, 1, len(x)), np.linspace(0, 1, 33)
+        want = [np.clip(np.interp(to, at, c[order]), lo, hi) for c, lo, hi in ((u, -4, 4), (v, -4, 4), (x0 / s, -4, 4), (y0 / s, -4, 4), (t, 0, 1.5), (e, 0, 1.5))]
+        assert np.abs(np.array(path[key]) - np.stack(want, 1)).max() < 1e-6
+    lone = [k for k, rows in by.items() if len(rows) == 1]
+    assert lone and all(len(path[k]) == 33 for k in lone)
+
+
+def test_distances_of_paths_and_grids(spark):
+    from hitweave.operators import paths as ph
+
+    r = np.random.default_rng(2)
+    a, b = r.random((7, 2)), r.random((7, 2))
+    frame = lambda m: spark.createDataFrame([(1, k, float(x), float(y)) for k, (x, y) in enumerate(m)], "label long, step int, x double, y double")
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    assert ph.chamfer(frame(a), frame(b), ["label"], ["x", "y"]).first()["chamfer"] == pytest.approx(d.min(1).mean() + d.min(0).mean(), abs=1e-5)
+    assert ph.path_distance(frame(a), frame(b), ["label"], ["x", "y"]).first()["relative_l2"] == pytest.approx(math.sqrt(((a - b) ** 2).mean() + 1e-6) / math.sqrt((a**2).mean() + 1e-6), abs=1e-5)
+    last = spark.createDataFrame([(1, 2, 0.5, 0), (1, 2, 0.25, 1), (1, 0, 1.0, 0)], "label long, voxel int, value double, at int")
+    assert ph.dense(last, 4).first()["values"] == [1.0, 0.0, 0.75, 0.0] and ph.dense(last, 4, True, "at").first()["values"] == [1.0, 0.0, 0.25, 0.0]
+
+
+def test_windows_apart(spark):
+    from hitweave.operators.manifests import apart
+
+    r = np.random.default_rng(4)
+    rows = [(int(s), int(a), int(a + r.integers(5, 30)), int(r.integers(0, 20))) for s in range(3) for a in r.integers(0, 400, 60)]
+    rows = sorted({(s, a): (s, a, b, n) for s, a, b, n in rows}.values())
+    got = sorted(tuple(x) for x in apart(spark.createDataFrame(rows, "source long, start long, `end` long, n long"), "source", "start", "end", "n", 6, 3).collect())
+    want = []
+    for s in range(3):
+        taken = []
+        for _, a, b, n in sorted((x for x in rows if x[0] == s), key=lambda x: (-x[3], x[1])):
+            if len(taken) < 6 and all(b + 3 <= u or a >= v + 3 for _, u, v, _ in taken):
+                taken.append((s, a, b, n))
+        want += taken
+    assert got == sorted(want)
