@@ -179,6 +179,60 @@ def write_rows(df: DataFrame, path: str, kind: str = "csv") -> None:
     df.write.mode("overwrite").option("header", "true").format(kind).save(path)
 
 
+def write_table(df: DataFrame, path: str) -> str:
+    """Write as Parquet, or as CSV where Parquet can't hold the columns; the format that was used."""
+    try:
+        df.write.mode("overwrite").parquet(path)
+        return "parquet"
+    except Exception as e:
+        if "UNSUPPORTED" not in str(e) and "INVALID_COLUMN" not in str(e):
+            raise
+        flat = df.select(*(F.col(f"`{f.name}`") if isinstance(f.dataType, (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) else F.col(f"`{f.name}`").cast("string").alias(f.name) for f in df.schema))
+        flat.write.mode("overwrite").option("header", "true").csv(path)
+        return "csv"
+
+
+def write_chunks(rows: DataFrame, path: str, by: str = "split", chunk: int = 2048) -> None:
+    """Rows (edge windows, views, voxel grids) as Parquet, parted by `by`, at most `chunk` rows a file."""
+    rows.write.mode("overwrite").option("maxRecordsPerFile", chunk).partitionBy(by).parquet(path)
+
+
+def chunk_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk_path, chunk_row, ...) of every row that `write_chunks` wrote: its file and its place there."""
+    rows = spark.read.parquet(path)
+    return rows.select(F.col("_metadata.file_path").alias("chunk_path"), F.col("_metadata.row_index").alias("chunk_row"), *rows.columns)
+
+
+def index_markdown(index: DataFrame, most_folders: int = 1000) -> str:
+    """A report of an index by top folder: files, tables, bytes and rows, the five largest files; the folders with the most files first.
+
+    The report is read by people, so it has at most `most_folders` folders and says how many it leaves out.
+    """
+    from hitweave.functions import human_bytes
+
+    folders = index.groupBy("folder").agg(F.count("*").alias("files"), F.count_if(F.col("extension") == ".t3pa").alias("tables"), F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("extension") == ".t3pa", F.col("rows"))).alias("rows"))
+    total = folders.agg(F.count("*").alias("n"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).withColumn("size", human_bytes(F.coalesce("bytes", F.lit(0)))).first()
+    rank = F.row_number().over(Window.partitionBy("folder").orderBy(F.col("bytes").desc(), "name"))
+    shown = folders.orderBy(F.col("files").desc(), "folder").limit(most_folders)
+    largest = index.select("folder", "name", "bytes").withColumn("_r", rank).where("_r <= 5").join(F.broadcast(shown.select("folder")), "folder").groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("_r", "name", human_bytes(F.col("bytes")).alias("size")))).alias("largest"))
+    kinds = index.groupBy("extension").count().orderBy(F.col("count").desc(), "extension").collect()
+    lines = ["# Index", "", f"{total['files'] or 0} files, {total['size']}, {total['rows'] or 0} rows", "", *(f"* {k['extension']}: {k['count']}" for k in kinds), "", "| Folder | Files | Tables | Size | Rows | Largest |", "|---|---|---|---|---|---|"]
+    for r in shown.join(largest, "folder").withColumn("size", human_bytes(F.col("bytes"))).orderBy(F.col("files").desc(), "folder").collect():
+        lines.append(f"| {r['folder']} | {r['files']} | {r['tables']} | {r['size']} | {r['rows'] or 0} | " + ", ".join(f"{x['name']} ({x['size']})" for x in r["largest"]) + " |")
+    if total["n"] > most_folders:
+        lines.append(f"\n{total['n'] - most_folders} folders are left out.")
+    return "\n".join(lines) + "\n"
+
+
+def clustering_params(path: str | None = None) -> dict[str, float]:
+    """eps, min_samples and time_scale of a JSON file; the wide defaults where there is no such file."""
+    import json
+    from pathlib import Path
+
+    found = json.loads(Path(path).read_text(encoding="utf-8")) if path and Path(path).exists() else {}
+    return {k: type(v)(found.get(k, v)) for k, v in {"eps": 4.0, "min_samples": 3, "time_scale": 15e6}.items()}
+
+
 def write_particles(hits: DataFrame, parts: DataFrame, path: str) -> None:
     """Labelled hits by source, ordered by particle with noise last, and the particle table; both committed by the engine's writer."""
     order = [F.when(F.col("label") < 0, 1).otherwise(0), "label", "fine", "hit_id"]
