@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hitweave.operators.components import components, local_components
 from hitweave.operators.order import before_slabs, block_window, in_blocks, ranked
-from hitweave.operators.spatial import adjacent_voxels, voxels
+from hitweave.operators.spatial import adjacent_voxels, offsets, voxels
 from hitweave.session import written
 
 CLUSTERED = "source long, hit_id long, root long, kind string, own boolean"
@@ -116,13 +116,53 @@ def link_stream(spark: SparkSession, hits: DataFrame, eps: float = 5.0, min_samp
     return hits.select("source", "hit_id").join(kept, ["source", "hit_id"], "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long")))
 
 
-def voxel_components(spark: SparkSession, hits: DataFrame, time_bin: float = 1.0, connectivity: str = "corner", min_hits: int = 2, by: tuple[str, ...] = ("source",)) -> DataFrame:
+def voxel_pairs(x: np.ndarray, y: np.ndarray, vt: np.ndarray, connectivity: str) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of occupied voxels that touch: each half of the neighbour offsets is one look-up of all keys."""
+    none = np.zeros(0, np.int64)
+    if not len(x):
+        return none, none
+    nx, ny = int(np.ptp(x)) + 3, int(np.ptp(y)) + 3
+    key = ((vt - vt.min()).astype(np.int64) * ny + (y - y.min())) * nx + (x - x.min())
+    order = np.argsort(key)
+    ranked_ = key[order]
+    found_a, found_b = [], []
+    for i, j, k in offsets(connectivity):
+        step = (k * ny + j) * nx + i
+        if step > 0:
+            at = np.minimum(np.searchsorted(ranked_, key + step), len(key) - 1)
+            hit = ranked_[at] == key + step
+            found_a.append(np.flatnonzero(hit))
+            found_b.append(order[at[hit]])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def voxel_components(spark: SparkSession, hits: DataFrame, time_bin: float = 1.0, connectivity: str = "corner", min_hits: int = 2, by: tuple[str, ...] = ("source",), slab_voxels: int = 4096) -> DataFrame:
     """(by..., hit_id, label): components of touching occupied voxels; the label is the least hit_id, -1 where a component has
-    fewer than min_hits hits (hits, not voxels)."""
+    fewer than min_hits hits (hits, not voxels).
+
+    Sources are cut into slabs of voxel times, each with the voxels next to its bounds, and joined again as in `dbscan`. Other
+    groups, which are many and small, go through one graph.
+    """
     binned = voxels(hits, time_bin)
     cells = written(spark, binned.groupBy(*by, "x", "y", "vt").agg(F.min("hit_id").alias("cell"), F.count("*").alias("n")), "cells")
-    edges = adjacent_voxels(cells, connectivity, by, ("cell",)).where("a_cell < b_cell").select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b"))
-    found = cells.join(components(spark, edges).withColumnRenamed("node", "cell"), "cell", "left").withColumn("component", F.coalesce("component", "cell"))
+    if by == ("source",):
+        slab, place = F.floor(F.col("vt") / slab_voxels), F.pmod("vt", F.lit(slab_voxels))
+        places = F.filter(F.array(F.when(place == 0, slab - 1), slab, F.when(place == slab_voxels - 1, slab + 1)), lambda k: k.isNotNull())
+        dealt = cells.select("source", F.col("cell").alias("hit_id"), "x", "y", "vt", slab.alias("home"), F.explode(places).alias("slab")).withColumn("own", F.col("home") == F.col("slab"))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            ids = pdf["hit_id"].to_numpy(np.int64)
+            label = local_components(len(ids), *voxel_pairs(*(pdf[c].to_numpy(np.int64) for c in ("x", "y", "vt")), connectivity))
+            root = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(root, label, ids)
+            return pd.DataFrame({"source": pdf["source"], "hit_id": ids, "root": root[label], "kind": "core", "own": pdf["own"]})
+
+        local = written(spark, dealt.groupBy("source", "slab").applyInPandas(run, CLUSTERED), "voxel_slabs")
+        named = merge_slabs(spark, local).select("source", F.col("hit_id").alias("cell"), F.col("label").alias("component"))
+        found = cells.join(named, ["source", "cell"])
+    else:
+        edges = adjacent_voxels(cells, connectivity, by, ("cell",)).where("a_cell < b_cell").select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b"))
+        found = cells.join(components(spark, edges).withColumnRenamed("node", "cell"), "cell", "left").withColumn("component", F.coalesce("component", "cell"))
     sizes = found.groupBy("component").agg(F.sum("n").alias("hits"))
     labels = found.join(sizes, "component").select(*by, "x", "y", "vt", F.when(F.col("hits") >= min_hits, F.col("component")).otherwise(F.lit(-1)).cast("long").alias("label"))
     return binned.join(labels, [*by, "x", "y", "vt"]).select(*by, "hit_id", "label")

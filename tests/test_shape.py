@@ -232,3 +232,16 @@ def test_windows_apart(spark):
                 taken.append((s, a, b, n))
         want += taken
     assert got == sorted(want)
+
+
+def test_voxel_slabs_equal_whole_sources(spark):
+    """Components over narrow slabs of voxel times are those over one slab, for every connectivity."""
+    from hitweave.operators.cluster import voxel_components
+
+    r = np.random.default_rng(12)
+    rows = [(int(s), 1000 * s + k, int(r.integers(0, 7)), int(r.integers(0, 7)), int(r.integers(0, 60 * 16))) for s in range(2) for k in range(400)]
+    hits = spark.createDataFrame(rows, "source long, hit_id long, x long, y long, fine long")
+    for connectivity in ("face", "edge", "corner"):
+        whole = {x["hit_id"]: x["label"] for x in voxel_components(spark, hits, 1.0, connectivity).collect()}
+        thin = {x["hit_id"]: x["label"] for x in voxel_components(spark, hits, 1.0, connectivity, slab_voxels=3).collect()}
+        assert whole == thin and len(set(whole.values())) > 1
