@@ -16,35 +16,12 @@ from pyspark.sql import functions as F
 
 from hitweave.operators.components import components, local_components
 from hitweave.operators.order import before_slabs, block_window, in_blocks, ranked
-from hitweave.operators.spatial import adjacent_voxels, offsets, voxels
+from hitweave.operators.spatial import adjacent_voxels, offsets, sweep_pairs, voxels
 from hitweave.session import written
 
 CLUSTERED = "source long, hit_id long, root long, kind string, own boolean"
 
 
-def sweep_pairs(x: np.ndarray, y: np.ndarray, fine: np.ndarray, eps: float, unit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs within eps among hits sorted by time: each step compares every hit with the one `step` places later."""
-    reach, limit = eps * unit + 1e-9, eps * eps + 1e-12
-    at, found_a, found_b = np.arange(len(fine)), [], []
-    step = 1
-    while True:
-        at = at[at + step < len(fine)]
-        if not len(at):
-            break
-        gap = fine[at + step] - fine[at]
-        near = gap <= reach
-        at, gap = at[near], gap[near]
-        if not len(at):
-            break
-        dx, dy, dt = x[at + step] - x[at], y[at + step] - y[at], gap / unit
-        hit = dx * dx + dy * dy + dt * dt <= limit
-        found_a.append(at[hit])
-        found_b.append(at[hit] + step)
-        step += 1
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
-
-
 def roots_of(x: np.ndarray, y: np.ndarray, fine: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
     """Root of each hit (-1 for noise) and whether it is a core, from the pairs within eps: the root of a core is the least hit_id of
     its component, that of a border hit is its core: the first by row, column, time and id offset."""

@@ -1,40 +1,74 @@
 """Joins by nearness in pixels and time: radius pairs, nearest neighbours, time neighbours, same pixel, adjacent voxels.
 
-Hits are rows (source, hit_id, x, y, fine, ...); fine counts sixteenths of a tick. Every join is an equi-join on the source and a bucket,
-with the neighbouring buckets of one side exploded (three or nine rows a hit), never a range or cross join.
+Hits are rows (source, hit_id, x, y, fine, ...); fine counts sixteenths of a tick. Radius pairs come from sweeps over slabs of time; every
+join is an equi-join on the source and a bucket, with the neighbouring buckets of one side exploded, never a range or cross join.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitweave.operators.order import block_window, in_blocks, ranked
 
 
-def radius_pairs(hits: DataFrame, eps: float = 5.0, time_scale: float = 0.625, directed: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def sweep_pairs(x: np.ndarray, y: np.ndarray, fine: np.ndarray, eps: float, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs within eps among hits sorted by time: each step compares every hit with the one `step` places later."""
+    reach, limit = eps * unit + 1e-9, eps * eps + 1e-12
+    at, found_a, found_b = np.arange(len(fine)), [], []
+    step = 1
+    while True:
+        at = at[at + step < len(fine)]
+        if not len(at):
+            break
+        gap = fine[at + step] - fine[at]
+        near = gap <= reach
+        at, gap = at[near], gap[near]
+        if not len(at):
+            break
+        dx, dy, dt = x[at + step] - x[at], y[at + step] - y[at], gap / unit
+        hit = dx * dx + dy * dy + dt * dt <= limit
+        found_a.append(at[hit])
+        found_b.append(at[hit] + step)
+        step += 1
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
+
+
+def radius_pairs(hits: DataFrame, eps: float = 5.0, time_scale: float = 0.625, directed: bool = True, keep: tuple[str, ...] = (), slab_ticks: int = 4096) -> DataFrame:
     """Pairs (source, a, b, dx, dy, df, dist) of different hits of a source within `eps`, ends included.
 
-    Distance is over (x, y, fine / (16 * time_scale)). Buckets are eps wide in time and in x.
+    Distance is over (x, y, fine / (16 * time_scale)). A source is cut into slabs of time; each slab also gets the hits that follow it
+    within reach, and gives the pairs whose earlier hit is its own, so every pair is found once, by a vectorised sweep in time.
+    Undirected pairs have the lesser id first. Columns of `keep` come along as a_ and b_.
     """
     unit = 16.0 * time_scale
-    wide, across = max(1, math.ceil(eps * unit)), max(1, math.ceil(eps))
-    base = hits.select("source", F.col("hit_id"), "x", "y", "fine", *keep, F.floor(F.col("fine") / wide).alias("tb"), F.floor(F.col("x") / across).alias("xb"))
-    left = base.select("source", "tb", "xb", *(F.col(c).alias(f"a_{c}") for c in ("hit_id", "x", "y", "fine", *keep)))
-    right = (
-        base.withColumn("tb", F.explode(F.array(F.col("tb") - 1, F.col("tb"), F.col("tb") + 1)))
-        .withColumn("xb", F.explode(F.array(F.col("xb") - 1, F.col("xb"), F.col("xb") + 1)))
-        .select("source", "tb", "xb", *(F.col(c).alias(f"b_{c}") for c in ("hit_id", "x", "y", "fine", *keep)))
-    )
-    dx, dy, df = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y"), F.col("b_fine") - F.col("a_fine")
-    order = F.col("a_hit_id") != F.col("b_hit_id") if directed else F.col("a_hit_id") < F.col("b_hit_id")
-    squared = (dx * dx + dy * dy) + (df / unit) * (df / unit)
-    return (
-        left.join(right, ["source", "tb", "xb"]).where(order & (squared <= eps * eps + 1e-12))
-        .select("source", F.col("a_hit_id").alias("a"), F.col("b_hit_id").alias("b"), dx.alias("dx"), dy.alias("dy"), df.alias("df"), F.sqrt(squared).alias("dist"), *(F.col(f"{s}_{c}") for c in keep for s in "ab"))
-    )
+    reach = math.ceil(eps * unit)
+    width = max(16 * slab_ticks, reach + 1)
+    slab = F.floor(F.col("fine") / width)
+    places = F.filter(F.array(slab, F.when(F.pmod("fine", F.lit(width)) <= reach, slab - 1)), lambda k: k.isNotNull())
+    dealt = hits.select("source", "hit_id", "x", "y", "fine", *keep, slab.alias("home"), F.explode(places).alias("slab")).withColumn("own", F.col("home") == F.col("slab"))
+    kept = ", ".join(f"{s}_{c} {hits.schema[c].dataType.simpleString()}" for c in keep for s in "ab")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["fine", "hit_id"], kind="stable", ignore_index=True)
+        x, y, fine, ids = (pdf[c].to_numpy(np.int64) for c in ("x", "y", "fine", "hit_id"))
+        a, b = sweep_pairs(x, y, fine, eps, unit)
+        mine = pdf["own"].to_numpy(bool)[a]
+        a, b = a[mine], b[mine]
+        if directed:
+            a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        else:
+            a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+        dx, dy, df = x[b] - x[a], y[b] - y[a], fine[b] - fine[a]
+        out = {"source": pdf["source"].iloc[0], "a": ids[a], "b": ids[b], "dx": dx, "dy": dy, "df": df, "dist": np.sqrt((dx * dx + dy * dy) + (df / unit) * (df / unit))}
+        return pd.DataFrame(out | {f"{s}_{c}": pdf[c].to_numpy()[k] for c in keep for s, k in (("a", a), ("b", b))})
+
+    return dealt.groupBy("source", "slab").applyInPandas(run, f"source {hits.schema['source'].dataType.simpleString()}, a long, b long, dx long, dy long, df long, dist double" + (f", {kept}" if kept else ""))
 
 
 def knn_edges(hits: DataFrame, k: int, radius: float, time_scale: float = 0.625) -> DataFrame:
