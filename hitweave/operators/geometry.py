@@ -104,6 +104,15 @@ def suspicious_splits(parts: DataFrame, axes: DataFrame, eps: float = 5.0, time_
     return p.where((F.col("a_linearity") >= 0.7) & (F.col("b_linearity") >= 0.7) & (agree >= 0.85)).select("source", "a", "b", "box_distance")
 
 
+def suspicious_merges(parts: DataFrame, axes: DataFrame, eps: float = 5.0, time_scale: float = 0.625, least: int = 100) -> DataFrame:
+    """Particles that may be several: at least max(least, p99 of their source) hits, linearity under 0.35, wider than 4 eps in pixels and in
+    scaled time."""
+    p99 = parts.groupBy("source", "n_hits").count().groupBy("source").agg(F.percentile("n_hits", F.lit(0.99), F.col("count")).alias("p99"))
+    wide = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")) > 4 * eps
+    long = (F.col("last_fine") - F.col("first_fine")) / (16.0 * time_scale) > 4 * eps
+    return parts.join(p99, "source").join(axes.select("label", "linearity"), "label").where((F.col("n_hits") >= F.greatest(F.lit(least), "p99")) & (F.col("linearity") < 0.35) & wide & long).select("source", "label", "n_hits")
+
+
 def resampled_paths(hits: DataFrame, points: int = 128) -> DataFrame:
     """(label, step, x, y, t): each label's hits in time order, interpolated linearly at `points` even steps of their index, centred."""
     w = Window.partitionBy("label").orderBy("fine", "y", "x", "hit_id")

@@ -28,6 +28,17 @@ def grid_coverage(hits: DataFrame, grid: DataFrame, bins: tuple[int, int, int] =
     return total.join(kept, "label", "left").select("label", F.coalesce("n_voxels", F.lit(0)).alias("n_voxels"), F.round(F.when(F.col("total") > 0, F.coalesce("kept", F.lit(0.0)) / F.col("total")).otherwise(1.0), 4).alias("kept_fraction"))
 
 
+def coverage_of_grids(hits: DataFrame, grids: list[tuple[int, int, int]], time_bin: float = 0.625) -> DataFrame:
+    """Per grid (time, y, x bins): the share of particles kept whole, of hits and of energy, in one pass over the hits."""
+    box = hits.where("label >= 0").groupBy("label").agg(*(F.min(c).alias(f"{c}_lo") for c in ("x", "y", "fine")), *(F.max(c).alias(f"{c}_hi") for c in ("x", "y", "fine")))
+    off = lambda c, unit: (F.col(c) - (F.col(f"{c}_lo") + F.col(f"{c}_hi")) / 2) / unit
+    spot = hits.join(box, "label").select("label", off("fine", 16.0 * time_bin).alias("t"), off("y", 1.0).alias("v"), off("x", 1.0).alias("u"), log_energy(F.col("tot")).alias("e"))
+    inside = lambda g: F.lit(True) if not g else F.floor(F.col("t") + g[0] / 2).between(0, g[0] - 1) & F.floor(F.col("v") + g[1] / 2).between(0, g[1] - 1) & F.floor(F.col("u") + g[2] / 2).between(0, g[2] - 1)
+    each = spot.groupBy("label").agg(F.count("*").alias("n"), F.sum("e").alias("e"), *(f.alias(f"{k}{i}") for i, g in enumerate(grids) for k, f in (("n", F.count_if(inside(g))), ("e", F.sum(F.when(inside(g), F.col("e")).otherwise(0.0))))))
+    rows = each.select("n", "e", F.explode(F.array(*(F.struct(F.lit(g[0]).alias("bins"), F.col(f"n{i}").alias("kept"), F.col(f"e{i}").alias("energy")) for i, g in enumerate(grids)))).alias("g"))
+    return rows.groupBy("g.bins").agg(F.round(F.avg((F.col("g.kept") == F.col("n")).cast("int")), 6).alias("particles"), F.round(F.sum("g.kept") / F.sum("n"), 6).alias("hits"), F.round(F.sum("g.energy") / F.sum("e"), 6).alias("energy"))
+
+
 def down_bin(grid: DataFrame, bins: tuple[int, int, int] = (32, 64, 64), factors: tuple[int, int, int] = (4, 2, 2), mirror_x: bool = False) -> DataFrame:
     """grid summed into coarser cells; mirror_x flips the x axis first."""
     nt, ny, nx = bins

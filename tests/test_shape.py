@@ -245,3 +245,13 @@ def test_voxel_slabs_equal_whole_sources(spark):
         whole = {x["hit_id"]: x["label"] for x in voxel_components(spark, hits, 1.0, connectivity).collect()}
         thin = {x["hit_id"]: x["label"] for x in voxel_components(spark, hits, 1.0, connectivity, slab_voxels=3).collect()}
         assert whole == thin and len(set(whole.values())) > 1
+
+
+def test_suspicious_merges(spark):
+    from hitweave.operators.geometry import suspicious_merges
+
+    rows = [(0, k, 5 if k else 120, 0, 40 if k != 3 else 10, 0, 40, 0, 4000 if k != 2 else 10) for k in range(6)]
+    parts = spark.createDataFrame(rows + [(1, 10, 150, 0, 40, 0, 3, 0, 4000), (1, 11, 150, 0, 40, 0, 3, 0, 4000)], "source long, label long, n_hits long, min_x long, max_x long, min_y long, max_y long, first_fine long, last_fine long")
+    axes = spark.createDataFrame([(k, 0.1) for k in range(6)] + [(10, 0.34), (11, 0.36)], "label long, linearity double")
+    got = lambda least: sorted(r["label"] for r in suspicious_merges(parts, axes, least=least).collect())
+    assert got(100) == [0, 10] and got(130) == [10] and got(1) == [0, 10]
