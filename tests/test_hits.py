@@ -190,3 +190,59 @@ def test_disjoint_pairs_go_on_past_equal_vectors(spark):
     pairs = spark.createDataFrame(rows, "a long, b long, distance double")
     want = [(0, 1, 0.0), (2000, 2001, 1.0), (2002, 2003, 2.0), (2004, 2005, 3.0), (2006, 2007, 4.0), (2008, 2009, 5.0)]
     assert disjoint_pairs(pairs, 4) == want[:4] and disjoint_pairs(pairs, 20) == want
+
+
+def test_windowed_clustering_equals_a_plain_one(spark):
+    """Count windows clustered one by one; clusters that share a hit are one, noise of one window may be claimed by another."""
+    r = np.random.default_rng(21)
+    rows = sorted((int(r.integers(0, 700)), int(r.integers(0, 9)), int(r.integers(0, 9))) for _ in range(90))
+    df = spark.createDataFrame([(0, i, x, y, f) for i, (f, x, y) in enumerate(rows)], "source long, hit_id long, x long, y long, fine long")
+    p = np.array([(x, y, f / 10) for f, x, y in rows])
+    for size, overlap, least in ((20, 8, 2), (16, 4, 3), (500, 0, 3)):
+        parent = {}
+
+        def root(k):
+            while parent.setdefault(k, k) != k:
+                k = parent[k]
+            return k
+
+        mine, start = {}, 0
+        while True:
+            ids = list(range(start, min(start + size, len(p))))
+            near = np.sqrt(((p[ids][:, None] - p[ids][None]) ** 2).sum(2)) <= 5 + 1e-12
+            core = near.sum(1) >= least
+            label = {}
+            for k in np.flatnonzero(core).tolist():
+                if k not in label:
+                    todo, label[k] = [k], k
+                    while todo:
+                        for j in np.flatnonzero(near[todo.pop()] & core).tolist():
+                            if j not in label:
+                                label[j] = k
+                                todo.append(j)
+            for k in np.flatnonzero(~core).tolist():
+                at = [j for j in np.flatnonzero(near[k] & core).tolist()]
+                if at:
+                    label[k] = label[min(at, key=lambda j: (p[ids[j], 1] - p[ids[k], 1], p[ids[j], 0] - p[ids[k], 0], p[ids[j], 2], ids[j]))]
+            for k, c in label.items():
+                name = (start, c)
+                if ids[k] in mine:
+                    parent[root(name)] = root(mine[ids[k]])
+                else:
+                    mine[ids[k]] = name
+                    root(name)
+            if ids[-1] == len(p) - 1:
+                break
+            start += max(1, size - overlap)
+        want = {}
+        for i, name in mine.items():
+            want.setdefault(root(name), []).append(i)
+        got = groups(cl.windowed_dbscan(spark, df, 5.0, least, 0.625, size, overlap))
+        assert got == sorted(sorted(v) for v in want.values())
+
+
+def test_components_of_hubs(spark):
+    """A star of more edges than a hub has, chained to another: one component, named by its least node."""
+    edges = [(0, k) for k in range(1, 1500)] + [(5000, k) for k in range(1400, 3000)] + [(9000, 9001)]
+    got = {r["node"]: r["component"] for r in components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in [*range(3000), 5000]} | {9000: 9000, 9001: 9000}
