@@ -325,6 +325,9 @@ def bucketed_means(spark, d):
     return mt.bucketed_means(pt.noise_summary(labels(spark, d)), ["noise_fraction", "n_particles"], {"hits": F.when(F.col("n_hits") <= 3900, "few").otherwise("many"), "parity": F.col("source") % 2})
 
 
-@query()
+@query(f"""{WR}{_TRUTH}, oc AS (SELECT source, truth, predicted, count(*) AS n FROM cmp WHERE truth>=0 AND predicted>=0 GROUP BY 1, 2, 3), ot AS (SELECT source, truth, count(*) AS tn FROM cmp WHERE truth>=0 GROUP BY 1, 2), op AS (SELECT source, predicted, count(*) AS pn FROM cmp WHERE predicted>=0 GROUP BY 1, 2),
+sc AS (SELECT oc.source, oc.truth, oc.predicted, n/(tn+pn-n) AS iou FROM oc JOIN ot ON oc.source=ot.source AND oc.truth=ot.truth JOIN op ON oc.source=op.source AND oc.predicted=op.predicted WHERE n/(tn+pn-n)>=0.5),
+bt AS (SELECT *, row_number() OVER (PARTITION BY source, truth ORDER BY iou DESC, predicted) AS i FROM sc), tk AS (SELECT *, row_number() OVER (PARTITION BY source, predicted ORDER BY truth) AS j FROM bt WHERE i=1), mt AS (SELECT source, count(*) AS matched, round(avg(iou),6) AS mean_iou FROM tk WHERE j=1 GROUP BY source)
+SELECT q.source, q.objects, coalesce(matched,0) AS matched, coalesce(mean_iou,0.0) AS mean_iou FROM (SELECT source, count(*) AS objects FROM ot GROUP BY source) q LEFT JOIN mt ON q.source=mt.source""")
 def object_iou(spark, d):
     return mt.object_iou(_compared(spark, d))

@@ -246,3 +246,23 @@ def test_components_of_hubs(spark):
     edges = [(0, k) for k in range(1, 1500)] + [(5000, k) for k in range(1400, 3000)] + [(9000, 9001)]
     got = {r["node"]: r["component"] for r in components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in [*range(3000), 5000]} | {9000: 9000, 9001: 9000}
+
+
+def test_object_matching_is_the_greedy_one(spark):
+    from hitweave.operators.metrics import object_iou
+
+    r = np.random.default_rng(2)
+    rows = [(int(s), int(t), int(p)) for s in range(6) for t, p in zip(r.integers(-1, 9, 60) // (1 + s % 3), r.integers(-1, 14, 60) // (1 + s % 4))] + [(9, 1, 1), (9, 1, 1), (9, 1, 0), (9, 1, 0), (9, 3, 5), (9, 2, 5), (10, 4, -1)]
+    got = {x["source"]: (x["objects"], x["matched"], x["mean_iou"]) for x in object_iou(spark.createDataFrame(rows, "source long, truth long, predicted long")).collect()}
+    for s in {x[0] for x in rows}:
+        t = np.array([x[1] for x in rows if x[0] == s])
+        p = np.array([x[2] for x in rows if x[0] == s])
+        used, found = set(), []
+        for k in sorted(set(t[t >= 0].tolist())):
+            ious = [(((t == k) & (p == m)).sum() / ((t == k) | (p == m)).sum(), -m) for m in set(p[p >= 0].tolist()) - used]
+            if ious and max(ious)[0] >= 0.5:
+                used.add(-max(ious)[1])
+                found.append(max(ious)[0])
+        assert got[s] == (len(set(t[t >= 0].tolist())), len(found), pytest.approx(np.mean(found) if found else 0, abs=1e-6))
+    with pytest.raises(ValueError, match="one half"):
+        object_iou(spark.createDataFrame(rows, "source long, truth long, predicted long"), least=0.3)
