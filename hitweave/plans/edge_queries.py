@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hitweave.operators import edge_windows as ew
 from hitweave.operators.cluster import dbscan
+from hitweave.operators.order import block_window, in_blocks, ranked
 from hitweave.operators.spatial import knn_edges
 from hitweave.plans.proxy import HITS, LABELS, hits, labelled, query
 from hitweave.session import written
@@ -40,11 +41,11 @@ FROM (SELECT *, lead(hit_id) OVER (PARTITION BY source ORDER BY fine, hit_id) AS
 SELECT source, src, dst, round(dx,6) AS dx, round(dy,6) AS dy, round(dt,6) AS dt, round(abs(dt),6) AS abs_dt, round(sqrt(dx*dx+dy*dy),6) AS dist_xy, round(sqrt(dx*dx+dy*dy+dt*dt),6) AS dist_xyt, round(eb-ea,6) AS energy_step, round(abs(eb-ea),6) AS abs_energy_step,
 round(least((eb+1e-6)/(ea+1e-6),10.0),6) AS energy_ratio, CASE WHEN same THEN 1.0::DOUBLE ELSE 0.0 END AS same_pixel, 0.0::DOUBLE AS is_near, 0.0::DOUBLE AS is_far, 1.0::DOUBLE AS is_time, 0.0::DOUBLE AS is_pixel FROM e""")
 def edge_vectors(spark, d):
-    from hitweave.operators.spatial import time_edges
-
     h = hits(spark, d)
-    after = time_edges(h, 1).join(h.select("source", F.col("hit_id").alias("src"), F.struct("fine", "hit_id").alias("_a")), ["source", "src"]).join(h.select("source", F.col("hit_id").alias("dst"), F.struct("fine", "hit_id").alias("_b")), ["source", "dst"]).where("_a < _b")
-    return ew.edge_vectors(after.select("source", "src", "dst", F.lit(4).alias("edge_type")), h)
+    # each hit keeps its own measures and looks up those of the next hit_id
+    near = in_blocks(ranked(h.select("source", "hit_id", "x", "y", "fine", "tot")), 1).withColumn("dst", F.lead("hit_id").over(block_window())).where("_own and dst is not null")
+    edges = near.select("source", F.col("hit_id").alias("src"), "dst", F.lit(4).alias("edge_type"), *(F.col(c).alias(f"s_{c}") for c in ("x", "y", "fine", "tot")))
+    return ew.edge_figures(edges.join(ew.end(h, "d", "dst"), ["source", "dst"]))
 
 
 @query()
