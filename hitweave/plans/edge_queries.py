@@ -14,8 +14,7 @@ from hitweave.session import written
 W, WR = "WITH ", "WITH RECURSIVE "
 
 
-def _dataset(spark, d):
-    return ew.edge_dataset(spark, labelled(spark, d), size=512, overlap=128, least=16)
+_WINDOW = {"size": 512, "overlap": 128, "least": 16}
 
 
 @query(f"""{WR}{LABELS}, rk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY fine, hit_id)-1 AS pos, count(*) OVER (PARTITION BY source) AS cnt FROM lab),
@@ -27,13 +26,12 @@ def edge_window_hits(spark, d):
 
 @query()
 def edge_window_manifest(spark, d):
-    return _dataset(spark, d)["manifest"]
+    return ew.window_manifest(labelled(spark, d), **_WINDOW)
 
 
 @query()
 def edge_window_nodes(spark, d):
-    got = _dataset(spark, d)
-    return ew.train_normalised(got["nodes"], got["manifest"], ew.NODE)
+    return ew.train_normalised(ew.window_nodes(labelled(spark, d), **_WINDOW), None, ew.NODE)
 
 
 @query(f"""{W}{HITS}, e AS (SELECT a.source, a.hit_id AS src, b.hit_id AS dst, (b.x-a.x)/128.0::DOUBLE AS dx, (b.y-a.y)/128.0::DOUBLE AS dy, (b.fine-a.fine)/10.0::DOUBLE AS dt, ln(1+a.tot)/6.931471805599453 AS ea, ln(1+b.tot)/6.931471805599453 AS eb, a.x=b.x AND a.y=b.y AS same
