@@ -91,10 +91,55 @@ def bootstrap_candidates(frames: DataFrame, most_frames: int | None = None, eps:
     return split_candidates(candidate_labels(points, eps, min_samples, "xy"))
 
 
+#: Values held as anchors: 2,048 vectors of 64.
+ANCHOR_VALUES = 2**17
+
+
+def core_crowd(vectors: DataFrame, eps: float, min_samples: int, values: int = ANCHOR_VALUES) -> DataFrame:
+    """vectors(vec_id, embedding) with `crowd`: true for cores of one component that a bounded set of vectors, the anchors, shows to be so.
+
+    Anchors with enough others near them are cores, and their largest component is taken. A vector with enough anchors near it is a core,
+    and of that component if one of its anchors is near. Where this shows nothing, `crowd` is false.
+    """
+    first = vectors.where("embedding is not null and size(embedding) > 0").select(F.size("embedding")).first()
+    dims = first[0] if first else 0
+    least = vectors.where((F.size("embedding") == dims) & (F.size("embedding") > 0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, values // max(dims, 1)))
+    kept = [r for r in least.select("vec_id", "embedding").collect() if None not in r["embedding"] and np.isfinite(r["embedding"]).all()]
+    ids, held = np.array([r["vec_id"] for r in kept], np.int64), np.array([r["embedding"] for r in kept], np.float64).reshape(len(kept), -1)
+    squares = (held**2).sum(1)
+
+    def near(own: np.ndarray, m: np.ndarray) -> np.ndarray:
+        # pairs so near to eps that the product's rounding might decide are left to the exact distance
+        sums = (m**2).sum(1)[:, None] + squares[None, :]
+        return (sums - 2 * (m @ held.T) <= eps * eps - 1e-9 * (1 + sums)) & (own[:, None] != ids[None, :])
+
+    between = near(ids, held) if len(ids) else np.zeros((0, 0), bool)
+    core = between.sum(1) + 1 >= min_samples
+    a, b = np.nonzero(between & core[:, None] & core[None, :])
+    label = np.where(core, local_components(len(ids), a, b), len(ids))
+    size = np.bincount(label, minlength=len(ids) + 1)[: len(ids)]
+    some = bool(len(size)) and bool(size.max() > 0)
+    member = label == size.argmax() if some else np.zeros(len(ids), bool)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            crowd, own = np.zeros(len(pdf), bool), pdf["vec_id"].to_numpy()
+            fits = np.array([v is not None and len(v) == dims for v in pdf["embedding"]], bool)
+            at = np.flatnonzero(fits) if some else np.zeros(0, int)
+            for lo in range(0, len(at), 1024):
+                part = at[lo : lo + 1024]
+                hit = near(own[part], np.stack(pdf["embedding"].to_numpy()[part]).astype(np.float64))
+                crowd[part] = (hit.sum(1) + 1 >= min_samples) & hit[:, member].any(1) | np.isin(own[part], ids[member])
+            yield pdf.assign(crowd=crowd)
+
+    return vectors.select("vec_id", "embedding").mapInPandas(run, f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, embedding {vectors.schema['embedding'].dataType.simpleString()}, crowd boolean")
+
+
 def descriptor_labels(vectors: DataFrame, eps: float, min_samples: int = 3, method: str = "dbscan") -> DataFrame:
     """(vec_id, label) of descriptor vectors by density, over all of them.
 
-    Vectors within eps have norms within eps and projections on any unit direction within eps: buckets of the norm and of one fixed
+    Cores that anchors show to be of one component need no pairs among themselves (`core_crowd`); only the other vectors are joined, with
+    all. Vectors within eps have norms within eps and projections on any unit direction within eps: buckets of the norm and of one fixed
     direction, each eps wide, meet their neighbours by equality, and the exact distance decides. Hierarchical density clustering
     isn't at hand.
     """
@@ -106,19 +151,27 @@ def descriptor_labels(vectors: DataFrame, eps: float, min_samples: int = 3, meth
 
     if method != "dbscan":
         raise ValueError(f"unknown method {method!r}; known: dbscan")
+    spark = vectors.sparkSession
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
     along = F.aggregate(F.transform("embedding", lambda v, i: v.cast("double") * F.when(F.pmod(i * 7919 + 13, F.lit(3)) == 0, -1.0).otherwise(1.0)), F.lit(0.0), lambda s, v: s + v) / F.sqrt(F.size("embedding").cast("double"))
     cell = lambda c: F.floor(c / eps)
-    base = written(vectors.sparkSession, vectors.select("vec_id", "embedding", cell(norm).alias("p"), cell(along).alias("q")), "cells")
+    marked = written(spark, core_crowd(vectors.where("vec_id is not null and size(embedding) > 0"), eps, min_samples), "crowd")
+    base = marked.select("vec_id", "embedding", cell(norm).alias("p"), cell(along).alias("q"), "crowd")
+    crowd = base.where("crowd").select(F.col("vec_id").alias("a")).distinct()
+    least = crowd.agg(F.min("a")).first()[0]
     step = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    other = base.withColumn("p", step("p")).withColumn("q", step("q")).withColumnsRenamed({"vec_id": "b", "embedding": "_y"})
-    near = base.withColumnRenamed("vec_id", "a").join(other, ["p", "q"]).where((F.col("a") != F.col("b")) & (squared_distance(F.col("embedding"), F.col("_y")) <= eps * eps + 1e-12)).select("a", "b")
-    near = written(vectors.sparkSession, near, "near")
+    other = base.withColumnsRenamed({"vec_id": "b", "embedding": "_y"}).drop("crowd")
+    alone = base.where("not crowd").drop("crowd").withColumn("p", step("p")).withColumn("q", step("q")).withColumnRenamed("vec_id", "a")
+    near = alone.join(other, ["p", "q"]).where((F.col("a") != F.col("b")) & (squared_distance(F.col("embedding"), F.col("_y")) <= eps * eps + 1e-12)).select("a", "b")
+    near = written(spark, near, "near")
     core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_samples).select("a")
     if min_samples <= 1:
         core = vectors.select(F.col("vec_id").alias("a"))
-    live = near.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
-    found = components(vectors.sparkSession, live.select("a", "b"))
-    cores = core.join(found.withColumnRenamed("node", "a"), "a", "left").select(F.col("a").alias("vec_id"), F.coalesce("component", "a").alias("label"))
+    core = core.unionByName(crowd).distinct()
+    # the crowd is one node, its least id
+    nodes = core.join(crowd.withColumn("_crowd", F.lit(True)), "a", "left").select("a", F.when(F.col("_crowd"), F.lit(least)).otherwise(F.col("a")).alias("node"))
+    end = lambda c: nodes.select(F.col("a").alias(c), F.col("node").alias(f"{c}_node"))
+    found = components(spark, near.join(end("a"), "a").join(end("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    cores = nodes.join(found, "node", "left").select(F.col("a").alias("vec_id"), F.coalesce("component", "node").alias("label"))
     borders = near.join(core, "a", "left_anti").join(cores.withColumnsRenamed({"vec_id": "b", "label": "root"}), "b").withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where("_r = 1").select(F.col("a").alias("vec_id"), F.col("root").alias("label"))
     return vectors.select("vec_id").join(cores.unionByName(borders), "vec_id", "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long")))

@@ -130,3 +130,31 @@ def test_tables_chunks_and_reports(spark, tmp_path):
     assert "1 folders are left out" in files.index_markdown(index, 1)
     (tmp_path / "p.json").write_text(json.dumps({"eps": 5, "time_scale": 0.625}))
     assert files.clustering_params(str(tmp_path / "p.json")) == {"eps": 5.0, "min_samples": 3, "time_scale": 0.625} and files.clustering_params("/none") == files.clustering_params()
+
+
+@pytest.mark.parametrize("values", [4 * 3, 4 * 40, cd.ANCHOR_VALUES])
+def test_descriptor_labels(spark, monkeypatch, values):
+    monkeypatch.setattr(cd.core_crowd, "__defaults__", (values,))
+    r = np.random.default_rng(5)
+    p = np.concatenate([r.normal(0, 1, (120, 4)), r.normal(6, 1, (60, 4)), r.uniform(-9, 9, (60, 4)), np.tile(r.normal(3, 1, (1, 4)), (5, 1))]).round(2)
+    rows = [(int(i), [float(v) for v in x]) for i, x in zip(r.permutation(len(p)) * 3, p)]
+    rows.sort()
+    table = spark.createDataFrame([*rows, (9999, None), (10000, []), (10001, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    for least in (1, 3) if values == 160 else (3,):
+        want = plain_density(np.array([x for _, x in rows]), 1.1, least)
+        core = (np.sqrt(((np.array([x for _, x in rows])[:, None] - np.array([x for _, x in rows])[None]) ** 2).sum(2)) <= 1.1 + 1e-12).sum(1) >= least
+        names = {k: rows[int(np.flatnonzero((want == k) & core)[0])][0] for k in set(want.tolist()) - {-1}}
+        got = dict(map(tuple, cd.descriptor_labels(table, 1.1, least).collect()))
+        assert [got.pop(i) for i, _ in rows] == [names.get(k, -1) for k in want.tolist()]
+        assert len(got) == 3 and (least == 1 or set(got.values()) == {-1})
+
+
+def test_descriptor_crowd_makes_no_pairs(spark, monkeypatch):
+    from hitweave import session
+
+    made, write = {}, session.written
+    monkeypatch.setattr(session, "written", lambda spark, df, name: made.setdefault(name, write(spark, df, name)))
+    p = np.random.default_rng(6).normal(0, 0.2, (1000, 4))
+    table = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(p)], "vec_id long, embedding array<double>")
+    assert {x["label"] for x in cd.descriptor_labels(table, 1.2).collect()} == {0}
+    assert made["near"].count() < 10_000  # all 997916 pairs within 1.2 before
