@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from hitweave.operators import edge_windows as ew
 from hitweave.operators.cluster import dbscan
 from hitweave.operators.order import block_window, in_blocks, ranked
-from hitweave.operators.spatial import knn_edges
 from hitweave.plans.proxy import HITS, LABELS, hits, labelled, query
 from hitweave.session import written
 
@@ -56,9 +55,8 @@ def repaired_components(spark, d):
 @query()
 def threshold_sweep(spark, d):
     h = hits(spark, d)
-    nodes = h.select("source", "hit_id", F.round((F.col("tot") % 11) / 10.0, 2).alias("score"), F.col("order_id").alias("truth"))
-    edges = knn_edges(h, 2, 3.5).select("source", "src", "dst", F.round(1 - F.col("dist") / 4.0, 4).alias("score"))
-    return ew.threshold_sweep(spark, nodes, edges)
+    scored = h.select("source", "hit_id", "x", "y", "fine", F.round((F.col("tot") % 11) / 10.0, 2).alias("score"), F.col("order_id").alias("truth"))
+    return ew.threshold_sweep_hits(spark, scored)
 
 
 @query()
